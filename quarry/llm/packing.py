@@ -13,14 +13,17 @@ packed each on its own; a null doc_id stays null in its segments; other columns
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import default_vocabulary, encoder
+from .bpe import default_vocabulary
 from .common import slices, table
 
 ROW_TOKENS = 2048
@@ -88,11 +91,18 @@ def pack(encoded: list[tuple[int | None, np.ndarray]], capacity: int, pad: int)
         yield int(ends[-1]), ids.tobytes(), ends.tolist(), ends[:-1].tolist(), [s[0] for s in segments], [s[1] for s in segments]
 
 
+@lru_cache(maxsize=4)
+def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def packed(docs: DataFrame, path: str, pattern: str, row_tokens: int = ROW_TOKENS, pad: int = 0) -> DataFrame:
     """Encodes the texts and packs their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, group = encoder(path, pattern), TaskContext.get().partitionId(), 0
+        encode, shard, group = tokenizer(path, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 
@@ -104,7 +114,7 @@ def packed(docs: DataFrame, path: str, pattern: str, row_tokens: int = ROW_TOKEN
         for batch in batches:
             for part in slices(batch):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(own.encode(text), "<u4")
+                    ids = np.array(encode(text or ""), "<u4")
                     held.append((doc, ids))
                     tokens += ids.size
                     if tokens >= GROUP_TOKENS:
