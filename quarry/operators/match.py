@@ -36,10 +36,14 @@ def _text(*lists: str) -> Column:
     return normalize_match(F.array_join(F.concat(*[F.col(x) for x in lists]), "\n"))
 
 
+def _keyed(keys: Column, kind: str) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+
 def requirements(jobs: DataFrame, taxonomy: Taxonomy, fuzzy: bool = True) -> DataFrame:
     """job_id, kind, seq, key, label, weight: what each job asks for."""
     asked = {"concept": _text("responsibilities", "required_skills"), "software": _text("required_software"), "preferred": _text("preferred_skills", "preferred_qualifications", "preferred_certifications")}
-    keys = F.concat(*[F.transform(taxonomy.hits(t, kind, fuzzy), lambda k, kind=kind: F.struct(F.lit(kind).alias("kind"), k.alias("key"))) for kind, t in asked.items()])
+    keys = F.concat(*[_keyed(taxonomy.hits(t, kind, fuzzy), kind) for kind, t in asked.items()])
     known = F.create_map(*[x for i, c in enumerate(taxonomy.concepts) for x in (F.lit(f"{c.kind}:{c.key}"), F.struct(F.lit(i).alias("seq"), F.lit(c.label).alias("label"), F.lit(c.weight).alias("weight")))])
     rows = jobs.select("job_id", F.explode(keys).alias("r")).withColumn("c", known[F.concat_ws(":", "r.kind", "r.key")])
     return rows.select("job_id", "r.kind", "r.key", "c.seq", "c.label", "c.weight")
@@ -48,7 +52,7 @@ def requirements(jobs: DataFrame, taxonomy: Taxonomy, fuzzy: bool = True) -> Dat
 def best_evidence(catalog: DataFrame, taxonomy: Taxonomy, fuzzy: bool = True) -> DataFrame:
     """candidate_id, kind, key, item: for each concept met, the record of the preferred section, the first of equals."""
     text = normalize_match(F.col("text"))
-    keys = F.concat(*[F.transform(taxonomy.hits(text, kind, fuzzy), lambda k, kind=kind: F.struct(F.lit(kind).alias("kind"), k.alias("key"))) for kind in KINDS])
+    keys = F.concat(*[_keyed(taxonomy.hits(text, kind, fuzzy), kind) for kind in KINDS])
     priority = F.coalesce(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])[F.col("section")], F.lit(99))
     rows = catalog.withColumn("k", F.explode(keys))
     item = F.struct("evidence_id", F.col("text").alias("evidence"), F.col("section").alias("source_section"))

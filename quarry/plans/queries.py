@@ -224,7 +224,7 @@ def alias_missing_anti(spark, sf):
 @query()
 def fuzzy_alias(spark, sf):
     rows = _t(spark, sf, "part").select("p_partkey", text.normalize_match(F.col("p_name")).alias("t"))
-    return rows.select("p_partkey", F.explode(fuzzy_aliases(F.col("t"), ["forest green", "midnight blu", "lemon chifon", "chocolate brown"])).alias("alias"))
+    return rows.select("p_partkey", F.explode(fuzzy_aliases(F.col("t"), ["small ringg", "red widgett", "blue boltts", "large gearr"])).alias("alias"))
 
 
 @query("SELECT l_orderkey, round(100.0 * coalesce(sum(l_quantity) FILTER (l_discount > 0.05), 0) / sum(l_quantity), 6) AS score FROM lineitem GROUP BY l_orderkey")
