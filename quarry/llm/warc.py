@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, slices, table
+from .common import checkpointed, fresh_dir, slices, table
 
 ARCHIVE_BYTES = 32 << 20
 WINDOW_BYTES = 1 << 20
@@ -190,8 +190,8 @@ def referred(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, directory: str, least: int = 0, packed: bool = True) -> DataFrame:
     """Writes archives of about ARCHIVE_BYTES to the directory; returns their list: path, records, bytes."""
     spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = referred(pages, least).repartition(parts, F.xxhash64("page_id", F.length("html"))).sortWithinPartitions("page_id", "url", "html")
+    rows = referred(pages, least)
+    rows = rows.sortWithinPartitions(*rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(directory)
@@ -265,7 +265,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
     page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
-    found = read_archives(archives).where("kind = 'record'").select(page(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("n"), "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to"))
-    whole = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("n").alias("_n"))
-    back = found.join(whole, (F.coalesce("refers_to", "page_id").eqNullSafe(F.col("_id"))) & (F.col("payload_digest") == F.col("_digest")), "left")
-    return back.select("page_id", F.coalesce("_n", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    found = checkpointed(read_archives(archives).where("kind = 'record'").select(page(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("n"), "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to")))
+    kept = found.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    whole = kept.groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    again = found.where("record_type <> 'response'").join(whole, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")))
+    return kept.unionByName(again.select(kept.columns))
