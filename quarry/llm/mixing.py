@@ -134,7 +134,7 @@ def slots(spark: SparkSession, mix: Plan) -> DataFrame:
     ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = drawn.groupBy("sid", "part").agg(F.sum("taken").alias("n")).select("sid", "part", F.coalesce(F.sum("n").over(ahead.partitionBy("sid")), F.lit(0)).alias("base"))
     within = W.partitionBy("sid", "part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    first = drawn.withColumn("ahead", F.coalesce(F.sum("taken").over(within), F.lit(0))).join(base, ["sid", "part"]).select("shard", "sid", "taken", (F.col("base") + F.col("ahead")).alias("first"))
+    first = drawn.withColumn("ahead", F.coalesce(F.sum("taken").over(within), F.lit(0))).join(base.hint("merge"), ["sid", "part"]).select("shard", "sid", "taken", (F.col("base") + F.col("ahead")).alias("first"))
     blocks, most, seed = mix.blocks, mix.most, mix.seed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +150,8 @@ def slots(spark: SparkSession, mix: Plan) -> DataFrame:
                     block[at] = _permuted(j[at] % n, n, hash((seed, int(sid), int(e))) & 0xFFFFFFFFFFFFFFFF)
                 yield pd.DataFrame({"shard": shard, "sid": sid, "epoch": epoch, "block": block})
 
-    return first.mapInPandas(run, "shard long, sid long, epoch long, block long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return first.repartition(parts, "shard").mapInPandas(run, "shard long, sid long, epoch long, block long")  # few rows that become many
 
 
 def located(rows: DataFrame, mix: Plan) -> DataFrame:
@@ -163,7 +164,7 @@ def located(rows: DataFrame, mix: Plan) -> DataFrame:
     base = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie")
     placed = known.withColumn("ahead", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("rn", F.row_number().over(within))
-    return placed.join(base, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("ahead")).drop("base", "ahead")
+    return placed.join(base.hint("merge"), ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("ahead")).drop("base", "ahead")
 
 
 def pieces(placed: DataFrame, block_words: int) -> DataFrame:
@@ -175,11 +176,14 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 
 def draw_documents(docs: DataFrame, block_words: int = 64, most: int = 3, seed: int = 42) -> tuple[Plan, DataFrame]:
-    """The plan, and a row for each document and block with `times`, how often the mix takes the block."""
+    """The plan, and a row for each document and block with `times`, how often the mix takes the block.
+
+    Both sides of the join grow with the data, and the planner cannot see how far the slots expand: never broadcast.
+    """
     rows = sized(docs)
     mix = plan(rows, block_words, most, seed)
     times = slots(docs.sparkSession, mix).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return mix, pieces(located(rows, mix), block_words).join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return mix, pieces(located(rows, mix), block_words).join(times.hint("merge"), ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
