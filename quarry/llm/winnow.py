@@ -68,7 +68,7 @@ def winnow(codes: np.ndarray, k: int = K, w: int = W, start: int = 0) -> tuple[n
     k = min(k, n)
     w = min(w, n - k + 1)
     windows = n - k - w + 2
-    hashes, places, first = [], [], []
+    hashes, places, first, last = [], [], [], -1
     mask = np.uint64((1 << PLACE) - 1)
     for at in range(start, windows, PIECE):
         stop = min(windows, at + PIECE)
@@ -78,8 +78,9 @@ def winnow(codes: np.ndarray, k: int = K, w: int = W, start: int = 0) -> tuple[n
         new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         least = least[new]
         place = (mask - (least & mask)).astype(np.int64) + at
-        if places and places[-1].size and places[-1][-1] == place[0]:
+        if last == place[0]:
             least, place, new = least[1:], place[1:], new[1:]
+        last = place[-1] if place.size else last
         hashes.append(least >> np.uint64(PLACE))
         places.append(place)
         first.append(new + at)
