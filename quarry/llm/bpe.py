@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table
 
 #: Distinct pre-tokens a worker remembers before it starts afresh.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 1_500_000
+#: Longer pre-tokens are not remembered.
+MEMO_CHARS = 64
 
 
 class PerfectHash:
     """Minimal perfect hash by hash-and-displace: n keys on n slots, and the key itself to verify a hit."""
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 4):
+    def __init__(self, keys: list[bytes], per_bucket: int = 2):
         self.n = n = max(1, len(keys))
         self.buckets = max(1, n // per_bucket)
         groups: dict[int, list[tuple[int, int]]] = {}
@@ -89,32 +92,40 @@ class Encoder(dict):
         piece = pre_token.encode()
         at = self.whole.get(piece)
         ids = [self.ranks[self.keys[at]]] if at >= 0 else self.merge(piece)
-        packed = self[pre_token] = np.array(ids, "<u4").tobytes()
+        packed = pack(f"<{len(ids)}I", *ids)
+        if len(pre_token) <= MEMO_CHARS:
+            self[pre_token] = packed
         return packed
 
     def merge(self, piece: bytes) -> list[int]:
         """Joins the pair of least rank, leftmost first, until no neighbouring pair is a token."""
-        n, ranks = len(piece), self.ranks
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
-        heapq.heapify(heap)
-        gone = bytearray(n)
+        n, rank = len(piece), self.ranks.get
+        before, end = list(range(-1, n)), list(range(1, n + 2))  # end: of the part that begins at a byte; 0 once another part has taken it in
+        heap = []
+        for i in range(n - 1):
+            if (r := rank(piece[i : i + 2])) is not None:
+                heap.append(r << 64 | i << 32 | i + 2)  # the heap orders by rank, then place
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or end[j] != stop:
+            x = heappop(heap)
+            stop = x & 0xFFFFFFFF
+            i = x >> 32 & 0xFFFFFFFF
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
                 continue
-            gone[j], end[i], after[i] = 1, stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(piece[i : end[stop]])) is not None:
+                    heappush(heap, r << 64 | i << 32 | end[stop])
+            if i:
+                p = before[i]
+                if (r := rank(piece[p:stop])) is not None:
+                    heappush(heap, r << 64 | p << 32 | stop)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = after[i]
+            ids.append(rank(piece[i : end[i]]))
+            i = end[i]
         return ids
 
     def encode(self, text: str | None) -> bytes:
