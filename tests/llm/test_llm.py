@@ -230,3 +230,11 @@ def test_urls(spark):
     said = model.judge(df).collect()
     assert sum(x.model_verdict == x.verdict for x in said) > 380
     assert {x.model_verdict for x in urls.UrlFilter(df.limit(0)).judge(df).collect()} == {"allow"}
+
+
+def test_empty_and_null_tables(spark):
+    nothing = spark.createDataFrame([], DOCS)
+    for made in (mixing.mixed_documents(nothing), simhash.keep_representatives(nothing), linededup.cut_lines(nothing), quality.keep_good(nothing), packing.packed(nothing, *bpe.default_vocabulary())):
+        assert made.count() == 0
+    blank = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, "a b c " * 9, None, None, None)] * 2, DOCS)
+    assert [f(blank).count() for f in (simhash.keep_representatives, linededup.cut_lines, quality.keep_good)] == [3, 4, 0]
