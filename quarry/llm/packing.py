@@ -6,6 +6,9 @@ holds it, found in a segment tree over capacities. A row carries its ids (padded
 32-bit integers, so that the rows of a group are a matrix), the cumulative segment lengths, the places
 where positions start again, and for each segment its document and offset.
 
+Written out, a group is a file of its bare matrix and the index tells each row's file and place in it; a task writes
+to a name of its own try and renames, so a task that runs again leaves the same files.
+
 Groups are runs of documents of one input partition, closed at GROUP_TOKENS tokens, so memory is bounded and
 nothing is shuffled. Defined results: null and empty texts have no ids and are in no row; repeated rows are
 packed each on its own; a null doc_id stays null in its segments; other columns are ignored.
@@ -14,14 +17,17 @@ packed each on its own; a null doc_id stays null in its segments; other columns
 from __future__ import annotations
 
 import base64
+import posixpath
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
 from .common import slices, table
@@ -125,5 +131,43 @@ def packed(docs: DataFrame, path: str, pattern: str, row_tokens: int = ROW_TOKEN
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def write_matrices(rows: DataFrame, directory: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
+    """Writes the ids of packed rows as files of little-endian unsigned 32-bit integers, row_tokens to a row.
+
+    Returns the index: path, bytes_from, and the columns of a row but its ids. No rows give no files.
+    """
+    names = ["path", "bytes_from", *(n for n in _NAMES if n != "input_ids")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(directory)
+        store.create_dir(base, recursive=True)
+        attempt, name, path, out = TaskContext.get().taskAttemptId(), None, "", None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                store.move(f"{path}.{attempt}.tmp", path)
+
+        for batch in batches:
+            paths, froms = [], []
+            for shard, group, ids in zip(*(batch.column(n).to_pylist() for n in ("shard", "group", "input_ids")), strict=True):
+                if len(ids) != 4 * row_tokens:
+                    raise ValueError(f"a row of {len(ids)} bytes in a matrix of {row_tokens} tokens to a row")
+                if (shard, group) != name:
+                    close()
+                    name, path = (shard, group), f"{base}/ids-{shard:05d}-{group:05d}.u32"
+                    out = store.open_output_stream(f"{path}.{attempt}.tmp", compression=None)
+                paths.append(f"{directory}/{posixpath.basename(path)}")
+                froms.append(out.tell())
+                out.write(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(froms, pa.int64()), *(batch.column(n) for n in names[2:])], names)
+        close()
+
+    own = rows.select(*_NAMES)
+    schema = "path string, bytes_from long, " + ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("input_ids"))
+    own.mapInArrow(run, schema).write.parquet(index := f"{directory}-index")
+    return rows.sparkSession.read.parquet(index).select(*[F.col(n) for n in names])
+
+
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), *default_vocabulary())

@@ -168,6 +168,17 @@ def test_quality_rules(spark):
 def test_line_dedup(spark):
     texts = ["a\nb\nc\nd", "x\na\nb\nc\nd\ny", None, "", "a\nb\nc", "\n\n\n\n\n\n"]
     rows = {r.doc_id: (r.text, r.n_cut) for r in linededup.without_repeats(documents(spark, texts)).collect()}
+    r = random.Random(8)
+    wild = [None if r.random() < 0.1 else "\n".join(r.choice("abc ") for _ in range(r.randrange(14))) for _ in range(40)]
+    seen = set()
+    for got, t in zip(sorted(linededup.without_repeats(documents(spark, wild)).collect(), key=lambda x: x.doc_id), wild, strict=True):
+        lines, cut = (t or "").split("\n"), set()
+        for p in range(len(lines) - 2):
+            g = tuple(lines[p : p + 3])
+            if any(x.strip() for x in g):
+                cut |= {p, p + 1, p + 2} if g in seen else set()
+                seen.add(g)
+        assert got.n_cut == len(cut) and got.text == (t if not cut else "\n".join(x for i, x in enumerate(lines) if i not in cut))
     assert rows == {0: ("a\nb\nc\nd", 0), 1: ("x\ny", 4), 2: (None, 0), 3: ("", 0), 4: ("", 3), 5: ("\n\n\n\n\n\n", 0)}
 
 
@@ -218,6 +229,25 @@ def test_packing():
     assert packing.best_fit_decreasing([5, 4, 3, 2], 7) == [[0, 3], [1, 2]]
 
 
+def test_packed_matrices_on_disk(spark, tmp_path):
+    docs = documents(spark, [*HARD, *(gibberish(i, 60 * i) for i in range(20))])
+    path, pattern = bpe.default_vocabulary()
+    rows = packing.packed(docs.coalesce(2), path, pattern, row_tokens=64)
+    index = packing.write_matrices(rows, f"file://{tmp_path}/ids", row_tokens=64).collect()
+    found = {}
+    for r in index:
+        with open(r.path.removeprefix("file://"), "rb") as file:
+            file.seek(r.bytes_from)
+            ids = np.frombuffer(file.read(256), "<u4")
+        assert ids.size == 64 and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1]
+        for a, b, d, o in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.doc_offsets, strict=False):
+            found.setdefault(d, {})[o] = ids[a:b].tolist()
+    own = bpe.encoder(path, pattern)
+    for r in docs.collect():
+        assert sum((v for _, v in sorted(found.get(r.doc_id, {}).items())), []) == np.frombuffer(own.encode(r.text), "<u4").tolist()
+    assert not list(tmp_path.glob("ids/*.tmp")) and packing.write_matrices(rows.limit(0), f"file://{tmp_path}/none", row_tokens=64).count() == 0
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.ORG/es/1?x"), (2, "https://example.org/en/12"), (3, "http://org"), (4, None), (5, "no scheme"), (6, "http://x.com/de/1"), (7, "http://x.com/fr/#a"), (8, "http://forg/x"), (9, "http://example.com?q/fr/")]
     got = {r.page_id: r for r in urls.with_rules(spark.createDataFrame(rows, "page_id long, url string")).collect()}
