@@ -112,9 +112,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
+def keep_representatives(docs: DataFrame, width: int = 5) -> DataFrame:
     """Every document that is the first of its component; one row of a repeated first document."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = near_duplicates(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.select(*DOCUMENT_COLUMNS)
     rest = kept.where("doc_id is null")  # without an id nothing can tell a copy: they stay
     return kept.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(rest)
