@@ -44,14 +44,21 @@ def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
 
 
+def _between(lines: Column, cut: Column, size: int) -> Column:
+    """The lines outside the windows at the sorted places cut: what lies between one window's end and the next one's start."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda p: p + size))
+    ends = F.concat(cut, F.array(F.size(lines)))
+    return let(ends, lambda e: F.flatten(F.transform(starts, lambda s, i: F.slice(lines, s + 1, F.greatest(F.get(e, i) - s, F.lit(0))))))
+
+
 def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with their texts cut, and n_cut, the number of lines that went."""
     cut = covered(docs, size).withColumnsRenamed({"doc_id": "_id", "tie": "_tie", "cut": "_cut"})
     joined = docs.withColumn("_own", F.xxhash64("text")).join(cut, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_tie")), "left")
-    gone = let(F.array_distinct(F.flatten(F.transform("_cut", lambda p: F.sequence(p, p + (size - 1))))), lambda g: F.struct(g.alias("at"), F.size(g).alias("n")))
-    kept = let(F.split("text", "\n", -1), lambda lines: F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.array_contains(F.col("_gone.at"), x["i"]))["x"], "\n"))
-    made = joined.withColumn("_gone", F.when(F.col("_cut").isNotNull(), gone))
-    return made.withColumns({"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept), "n_cut": F.coalesce(F.col("_gone.n"), F.lit(0)).cast("long")}).drop("_own", "_id", "_tie", "_cut", "_gone")
+    parts = let(F.split("text", "\n", -1), lambda lines: let(_between(lines, F.col("_cut"), size), lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"))))
+    made = joined.withColumn("_kept", F.when(F.col("_cut").isNotNull(), parts))
+    return made.withColumns({"text": F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.col("_kept.text")), "n_cut": F.coalesce(F.col("_kept.n"), F.lit(0)).cast("long")}).drop("_own", "_id", "_tie", "_cut", "_kept")
+
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
