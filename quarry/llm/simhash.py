@@ -18,39 +18,29 @@ never names a component unless all of its documents have none. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alike
 from .common import DOCUMENT_COLUMNS, checkpointed, slices, table
 from .components import components
 
-#: Shingles hashed at a time, which bounds a worker's memory on very long texts.
-PIECE = 1 << 16
-_digest = partial(xxhash.xxh64_digest, seed=42)
-
-
 def fingerprint(data: bytes, width: int = 3) -> int:
     """Unsigned 64-bit SimHash of the word shingles of an UTF-8 text, repeats included."""
-    words = data.lower().split()  # bytes: only A-Z change, only the six ASCII spaces part words
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, PIECE):
-        if n == 1:
-            shingles = [b" ".join(words)]
-        else:
-            stop = min(n, at + PIECE)
-            shingles = map(b" ".join, zip(*(words[at + i : stop + i] for i in range(width)), strict=True))
-        packed = np.frombuffer(b"".join(map(_digest, shingles)), np.uint8)
-        counts += np.unpackbits(packed).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return majority(alike.digests(data, width))
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have; zero of none."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
+        counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += hashes.size
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
@@ -96,17 +86,51 @@ def links(fps: DataFrame) -> DataFrame:
     return members.join(hubs, "variant").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links, its own included)."""
-    own = checkpointed(fingerprints(docs, width))
+def sketched(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp, and of the set of shingles its sid, keys and minima (null without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            fps, ids, keys, minima = [], [], [], []
+            for text in part.column(1).to_pylist():
+                pieces = list(alike.digests(text or b"", width))
+                own = alike.shingle_set(pieces)
+                fps.append(majority(pieces))
+                ids.append(alike.set_id(own))
+                made = alike.sketch(own) if own.size else (None, None)
+                keys.append(made[0])
+                minima.append(made[1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())], ["doc_id", "fp", "sid", "keys", "minima"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, sid long, keys array<long>, minima binary")
+
+
+def _grouped(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of the rows own over edges (u, v) between their fp."""
     firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp")))  # node, root
+    roots = components(edges)  # node, root
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = grouped.join(named, "root").select("fp", "component_id")
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable over links, its own included)."""
+    own = checkpointed(fingerprints(docs, width))
+    return _grouped(own, links(own.select("fp").distinct()))
+
+
+def alike_groups(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
+    """near_duplicates over the links of fingerprints and those of sets of shingles that are tenths / 10 alike or more."""
+    own = checkpointed(sketched(docs, width))
+    fp_of = own.groupBy("sid").agg(F.min("fp").alias("low"))
+    same = own.join(fp_of, "sid").where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v"))
+    of = lambda name: fp_of.select(F.col("sid").alias(name), F.col("low").alias(f"f{name}"))
+    by_sets = alike.links(docs, own, width, tenths).join(of("u"), "u").join(of("v"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    return _grouped(own.select("doc_id", "fp"), links(own.select("fp").distinct()).unionByName(by_sets).unionByName(same))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -114,7 +138,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, width: int = 5) -> DataFrame:
     """Every document that is the first of its component; one row of a repeated first document."""
-    found = near_duplicates(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    found = alike_groups(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.select(*DOCUMENT_COLUMNS)
     rest = kept.where("doc_id is null")  # without an id nothing can tell a copy: they stay
     return kept.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(rest)

@@ -268,3 +268,34 @@ def test_empty_and_null_tables(spark):
         assert made.count() == 0
     blank = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, "a b c " * 9, None, None, None)] * 2, DOCS)
     assert [f(blank).count() for f in (simhash.keep_representatives, linededup.cut_lines, quality.keep_good)] == [3, 4, 0]
+
+
+def test_alike_texts_share_a_group(spark):
+    r, texts = random.Random(4), []
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(r.randrange(4)):
+            for _ in range(r.randrange(1, 5)):
+                words[r.randrange(len(words))] = f"x{r.randrange(5000)}"
+            texts.append(" ".join(words))
+    texts += [None, "", "one two", "One  two", "a b c d e", "a b c d f"]
+    shingled = []
+    for t in texts:
+        w = (t or "").lower().split()
+        shingled.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    # By the brute force: all pairs that are 0.8 alike or whose fingerprints link.
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        if 10 * len(shingled[a] & shingled[b]) >= 8 * len(shingled[a] | shingled[b]) or (fps[a] ^ fps[b]).bit_count() <= 3:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in simhash.alike_groups(documents(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) < len(got) - 20
