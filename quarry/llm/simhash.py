@@ -125,7 +125,8 @@ def alike_groups(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
     """near_duplicates over the links of fingerprints and those of sets of shingles that are tenths / 10 alike or more."""
     own = checkpointed(sketched(docs, width))
     fp_of = own.groupBy("sid").agg(F.min("fp").alias("low"))
-    same = own.join(fp_of, "sid").where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v"))
+    # Copies fall together before they are shuffled.
+    same = own.select("sid", "fp").distinct().join(fp_of, "sid").where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v"))
     of = lambda name: fp_of.select(F.col("sid").alias(name), F.col("low").alias(f"f{name}"))
     by_sets = alike.links(docs, own, width, tenths).join(of("u"), "u").join(of("v"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
     return _grouped(own.select("doc_id", "fp"), links(own.select("fp").distinct()).unionByName(by_sets).unionByName(same))
