@@ -6,6 +6,12 @@ minima, and in the order of the next three, neighbours under the same key are ca
 text with the smallest one under its key. That is at most two candidates a text and tree, however large
 the group. Candidates whose sketches agree enough are verified on their whole sets.
 
+That pass is quick but loses links, so an exact one follows it: two sets that are alike enough share a
+shingle among the first ones of both in any common order (prefix filter), here the rarest first. Under each
+such shingle all pairs that the first pass has not brought together are looked at; sizes, places in the
+order and parity bitmaps rule out only pairs that cannot be alike enough, and the rest is verified on
+whole sets. So groups are those of all pairs; large shingles are dealt among tasks by salts.
+
 Defined results: texts without words have no set and no link here; fewer words than the shingle make one
 shingle; rows of a null doc_id are left out; equal sets are one node; an empty table gives no links.
 """
@@ -23,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
+from .components import components
 
 #: Shingles hashed at a time, which bounds a worker's memory on very long texts.
 PIECE = 1 << 16
@@ -30,6 +37,12 @@ TREES, KEY, ORDER = 12, 3, 3
 MINIMA = TREES * (KEY + ORDER)
 #: Sketches of sets of likeness 0.8 agree in 57.6 minima of 72, with a deviation of 3.4.
 AGREE = 48
+#: Bits of the parity bitmap; members of a shingle a salt; shingles listed as frequent and the sample that finds them.
+BITS = 1024
+SALTED = 2048
+LISTED, SAMPLE, LEAST = 1 << 17, 16, 3
+#: Up to so many documents are broadcast to fetch their texts.
+FEW = 100_000
 _digest = partial(xxhash.xxh64_digest, seed=42)
 _draw = np.random.default_rng(42)
 _XOR = _draw.integers(0, 1 << 64, MINIMA, np.uint64)
@@ -75,6 +88,40 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     return keys.view(np.int64).tolist(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """A bitmap in which each hash flips a bit: two differ in no more bits than their sets differ in hashes."""
+    flips = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+
+
+def prefix(hashes: np.ndarray, tenths: int, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes in the common order, one of which any set of that likeness has among its own first ones; often: sorted hashes and their ranks, which come last."""
+    size = hashes.size - -(-hashes.size * tenths // 10) + 1
+    listed, rank = often
+    if not listed.size:
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(listed, hashes), listed.size - 1)
+    known = listed[at] == hashes
+    rare = hashes[~known]
+    return rare[:size] if rare.size >= size else np.concatenate((rare, hashes[known][np.argsort(rank[at[known]])]))[:size]
+
+
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, sorted, and their ranks by count. Any list gives the same links; this one keeps groups small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            for text in part.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(list(digests(text or b"", width))).view(np.int64))], ["token"])
+
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text")).distinct()
+    counts = texts.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= LEAST)
+    found = counts.orderBy(F.desc("count"), "token").limit(LISTED).collect()
+    tokens = np.array([r.token for r in found], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], len(found) - order
+
+
 def candidates(sketches: DataFrame) -> DataFrame:
     """Distinct pairs u < v of sid whose sketches (sid, keys, minima) share a key and stand beside each other, or beside its smallest sid."""
     one = sketches.where("keys is not null").groupBy("sid").agg(F.first("keys").alias("keys"), F.first("minima").alias("minima"))
@@ -102,15 +149,43 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, hashes array<long>")
 
 
-def links(docs: DataFrame, sketches: DataFrame, width: int, tenths: int = 8) -> DataFrame:
-    """Pairs (u, v) of sid whose sets have a likeness of tenths / 10 or more; sketches: doc_id, sid, keys, minima of docs."""
-    known = sketches.where("doc_id is not null")
-    pairs = checkpointed(candidates(known))
+def _unlinked(known: DataFrame, roots: DataFrame, tenths: int) -> DataFrame:
+    """Distinct pairs u < v of sid of different roots that no filter rules out; none that is alike enough is missing."""
+    rows = known.where("prefix is not null").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = rows.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("token")
+    live = rows.join(shared.hint("merge"), "token").dropDuplicates(["token", "sid"])
+    live = checkpointed(live.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    parted = live.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+    open_ = live.join(parted.select("token", F.ceil(F.col("members") / SALTED).cast("int").alias("salts")).hint("merge"), "token")
+    bits = known.groupBy("sid").agg(F.first("bits").alias("bits"))
+    longs = [f"b{i}" for i in range(BITS // 64)]
+    open_ = checkpointed(open_.join(bits.join(open_.select("sid").distinct().hint("merge"), "sid", "left_semi").hint("merge"), "sid").select("token", "salts", "sid", "root", "n", "pos", *[F.col("bits")[i].alias(b) for i, b in enumerate(longs)]))
+    one = open_.withColumn("salt", F.pmod("sid", "salts"))
+    two = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnsRenamed({c: f"_{c}" for c in ("sid", "root", "n", "pos", *longs)})
+    total = F.col("n") + F.col("_n")
+    rest = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in longs[1:]), F.bit_count(F.col("b0").bitwiseXOR(F.col("_b0"))))
+    near = one.join(two.hint("merge"), ["token", "salt"]).where(
+        (F.col("sid") < F.col("_sid")) & (F.col("root") != F.col("_root")) & (10 * F.least("n", "_n") >= tenths * F.greatest("n", "_n"))
+        & ((10 + tenths) * rest >= tenths * total) & ((10 + tenths) * differ <= (10 - tenths) * total)
+    )
+    return near.select(F.col("sid").alias("u"), F.col("_sid").alias("v")).distinct()
+
+
+def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, width: int, tenths: int) -> DataFrame:
+    pairs = checkpointed(pairs)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    needed = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(ends.hint("merge"), "sid").select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")
+    needed = checkpointed(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(ends.hint("merge"), "sid").select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").join(needed.hint("broadcast" if needed.count() <= FEW else "merge"), "doc_id", "left_semi")
     found = checkpointed(sets(texts, width).dropDuplicates(["sid"]))
     side = lambda name: found.select(F.col("sid").alias(name), F.col("hashes").alias(f"h{name}")).hint("merge")
     both = F.size(F.array_intersect("hu", "hv"))
     alike = (10 + tenths) * both >= tenths * (F.size("hu") + F.size("hv"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(alike).select("u", "v")
+    return checkpointed(pairs.join(side("u"), "u").join(side("v"), "v").where(alike).select("u", "v"))
+
+
+def links(docs: DataFrame, sketches: DataFrame, width: int, tenths: int = 8) -> DataFrame:
+    """Pairs (u, v) of sid whose sets have a likeness of tenths / 10 or more, which connect all that such pairs connect; sketches: the rows of simhash.sketched."""
+    known = sketches.where("doc_id is not null")
+    quick = _verified(docs, known, candidates(known), width, tenths)
+    return quick.unionByName(_verified(docs, known, _unlinked(known, components(quick), tenths), width, tenths))

@@ -89,12 +89,13 @@ def links(fps: DataFrame) -> DataFrame:
     return members.join(hubs, "variant").where("fp <> hub").select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct()
 
 
-def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp, and of the set of shingles its sid, keys and minima (null without words)."""
+def sketched(docs: DataFrame, width: int, tenths: int) -> DataFrame:
+    """doc_id, fp, and of the set of shingles its sid, size n, and keys, minima, prefix and bits (null without words)."""
+    often = alike.frequent(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
-            fps, ids, keys, minima = [], [], [], []
+            fps, ids, sizes, keys, minima, prefixes, bits = [], [], [], [], [], [], []
             for text in part.column(1).to_pylist():
                 pieces = list(alike.digests(text or b"", width))
                 own = alike.shingle_set(pieces)
@@ -103,9 +104,12 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 made = alike.sketch(own) if own.size else (None, None)
                 keys.append(made[0])
                 minima.append(made[1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())], ["doc_id", "fp", "sid", "keys", "minima"])
+                sizes.append(own.size)
+                prefixes.append(alike.prefix(own, tenths, often).view(np.int64) if own.size else None)
+                bits.append(alike.parity(own) if own.size else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "fp", "sid", "n", "keys", "minima", "prefix", "bits"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, sid long, keys array<long>, minima binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, sid long, n int, keys array<long>, minima binary, prefix array<long>, bits array<long>")
 
 
 def _grouped(own: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def alike_groups(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
     """near_duplicates over the links of fingerprints and those of sets of shingles that are tenths / 10 alike or more."""
-    own = checkpointed(sketched(docs, width))
+    own = checkpointed(sketched(docs, width, tenths))
     fp_of = own.groupBy("sid").agg(F.min("fp").alias("low"))
     # Copies fall together before they are shuffled.
     same = own.select("sid", "fp").distinct().join(fp_of, "sid").where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v"))
