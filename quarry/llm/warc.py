@@ -120,6 +120,14 @@ def _checked(fields: dict, block: bytes) -> dict:
     return {"fields": fields, "payload": payload}
 
 
+def _plain_head(source: Window, at: int) -> bytes:
+    """What holds the head of an uncompressed record, of 1 MiB at most."""
+    n = 1 << 13
+    while b"\r\n\r\n" not in (data := source.read(at, n)) and n < 1 << 20 and len(data) == n:
+        n *= 2
+    return data
+
+
 def _record_at(source: Window, at: int, packed: bool) -> tuple[dict, int]:
     if packed:
         data, end = _member(source, at)
@@ -127,10 +135,7 @@ def _record_at(source: Window, at: int, packed: bool) -> tuple[dict, int]:
         if data[start + int(fields["content-length"]) :].strip(b"\r\n"):
             raise Damaged("more than a record in the member")
         return _checked(fields, data[start : start + int(fields["content-length"])]), end
-    n = 1 << 13
-    while b"\r\n\r\n" not in (data := source.read(at, n)) and n < 1 << 20 and len(data) == n:
-        n *= 2
-    fields, start = _head(data)
+    fields, start = _head(_plain_head(source, at))
     found = _checked(fields, source.read(at + start, int(fields["content-length"])))
     end = at + start + int(fields["content-length"])
     while source.read(end, 2) == b"\r\n":
@@ -168,7 +173,7 @@ def _next(source: Window, at: int, mark: bytes, packed: bool) -> int:
             if packed:
                 _head(_member(source, at)[0])
             else:
-                _head(source.read(at, 1 << 13))
+                _head(_plain_head(source, at))
             return at
         except Damaged:
             at += 1
