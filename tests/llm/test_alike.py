@@ -36,3 +36,9 @@ def test_every_edited_copy_of_one_original_is_linked(spark):
     assert all(10 * np.intersect1d(sets[0], x).size >= 8 * np.union1d(sets[0], x).size for x in sets[1:])
     got = simhash.alike_groups(documents(spark, texts)).collect()
     assert len(got) == len(texts) and {r.component_id for r in got} == {0}
+
+
+def test_pairs_whose_sketches_hardly_agree_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(alike, "AGREE", alike.MINIMA + 1)
+    got = simhash.alike_groups(documents(spark, edited_copies(2, 1))).collect()
+    assert [r.component_id for r in got] == [0, 0]
