@@ -428,7 +428,7 @@ def label_candidate_setdiff(spark, sf):
 @query()
 def random_baseline(spark, sf):
     _, labels = _ranked(spark, sf)
-    return metrics.random_baseline(spark, labels, "lang", "doc_id", [5, 10, 20], trials=200)
+    return metrics.random_baseline(spark, labels, "lang", "doc_id", [5, 10, 20])
 
 
 # Quality, export, index
