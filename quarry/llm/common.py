@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or what the context has been given.
+
+    A temporary folder stands in for it only where driver and executors are one process (master local); elsewhere
+    a missing setting raises, as no machine's own folder is seen by the others.
+    """
     uri = spark.conf.get("spark.checkpoint.dir", None)
     if not uri:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         uri = sc.getCheckpointDir()
     if uri.startswith("file:"):
@@ -44,6 +51,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_dir(spark: SparkSession, uri: str) -> None:
+    """Removes a folder that fresh_dir named, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows to one row a key, of which `weight` says how many of the rows it will meet; weight is dropped.
+
+    A key that meets more than an even task's share of all rows (total; counted if not given) is dealt among as many
+    tasks as it fills. Fewer keys than there are shuffle partitions can be so heavy, which bounds what is broadcast to
+    tell them. Rows are dealt by their hash, so a task that runs again deals them alike.
+    """
+    parts = max(1, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if total is None:
+        one = checkpointed(one)
+        total = one.agg(F.sum(weight)).first()[0] or 0
+    share = max(1, total // parts)
+    salts = F.least(F.lit(parts), F.ceil(F.col(weight) / share)).cast("int")
+    heavy = one.where(F.col(weight) > share).select(*on, salts.alias("_salts"))
+    dealt = many.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    held = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > share, salts).otherwise(1) - 1))).drop(weight)
+    return dealt.join(held.hint("merge"), [*on, "_salt"]).drop("_salt")
+
+
+def free(spark: SparkSession) -> None:
+    """Has Spark remove the files of shuffles and checkpoints that nothing refers to any more: its cleaner acts on what a collection of the driver's memory finds."""
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value worked out once a row however often the body names it."""
     return F.transform(F.array(value), body)[0]
