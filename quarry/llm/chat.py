@@ -1,14 +1,16 @@
 """Chat formatting of typed content parts.
 
 A visitor over a turn's parts flattens text, image, audio and document parts into one string: texts
-escaped, attachments as ordered placeholders <|image:1|>, with the attachment's reference and the tokens
-that the placeholder expands to kept beside it. Turns stand between control strings; every control string
-inside a text or role is escaped, and unescaping gives the text back.
+escaped, neighbouring ones as one, attachments as ordered placeholders <|image:1|>, with the
+attachment's reference and the tokens that the placeholder expands to kept beside it. Turns stand
+between control strings; every control string inside a text or role is escaped, and unescaping gives
+the text back.
 
 Escape: a backslash is doubled, then a backslash goes after the first character of every control string.
 Defined results: a null text or role is empty; a null or unknown kind of part counts as text; a turn
 without parts is empty; turns sort by number (null first), then role and text; repeated rows are turns of
-their own. A conversation becomes one row, so it must fit into a row; empty tables give no rows.
+their own. A conversation becomes one row, so it must fit into a row; turns of a null conv_id are one
+conversation, in order like any other's, and that too must fit; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,18 +37,32 @@ def unescape(text: Column) -> Column:
 
 
 def visit(parts: Column) -> Column:
-    """struct(body, attachments) of array<struct<kind, text, ref, tokens>>: placeholders number each kind in order."""
+    """struct(body, attachments) of array<struct<kind, text, ref, tokens>>: placeholders number each kind in order.
+
+    One walk over the parts: the texts since the last attachment are held as one run and escaped together, so
+    that no control string can be put together from the ends of neighbouring parts.
+    """
     kind = lambda p: F.when(p["kind"].isin(list(EXPANSION)), p["kind"]).otherwise(F.lit("text"))
     default = F.create_map(*[F.lit(x) for pair in EXPANSION.items() for x in pair])
-
-    def walk(own: Column) -> Column:
-        before = lambda p, i: F.size(F.filter(F.slice(own, 1, i + 1), lambda q: kind(q) == kind(p)))
-        mark = lambda p, i: F.concat(F.lit("<|"), kind(p), F.lit(":"), before(p, i).cast("string"), F.lit("|>"))
-        body = F.array_join(F.transform(own, lambda p, i: F.when(kind(p) == "text", escape(p["text"])).otherwise(mark(p, i))), "")
-        listed = F.transform(own, lambda p, i: F.struct(kind(p).alias("kind"), mark(p, i).alias("placeholder"), p["ref"].alias("ref"), F.coalesce(p["tokens"], default[kind(p)].cast("long")).alias("tokens")))
-        return F.struct(body.alias("body"), F.filter(listed, lambda a: a["kind"] != "text").alias("attachments"))
-
-    return let(F.coalesce(parts, F.array().cast("array<struct<kind:string,text:string,ref:string,tokens:bigint>>")), walk)
+    zero = F.lit(0).cast("long")
+    listed = "array<struct<kind:string,placeholder:string,ref:string,tokens:bigint>>"
+    texts = "array<string>"
+    start = F.struct(F.array().cast(texts).alias("done"), F.array().cast(texts).alias("run"), F.array().cast(listed).alias("attachments"), *[zero.alias(k) for k in EXPANSION])
+
+    def step(s: Column, p: Column) -> Column:
+        number = F.coalesce(*[F.when(p["kind"] == k, s[k] + 1) for k in EXPANSION])
+        mark = F.concat(F.lit("<|"), kind(p), F.lit(":"), number.cast("string"), F.lit("|>"))
+        own = F.struct(kind(p).alias("kind"), mark.alias("placeholder"), p["ref"].alias("ref"), F.coalesce(p["tokens"], default[kind(p)].cast("long")).alias("tokens"))
+        seen = [(s[k] + F.when(p["kind"] == k, 1).otherwise(0)).alias(k) for k in EXPANSION]
+        said = F.struct(s["done"].alias("done"), F.concat(s["run"], F.array(F.coalesce(p["text"], F.lit("")))).alias("run"), s["attachments"].alias("attachments"), *[s[k].alias(k) for k in EXPANSION])
+        placed = F.struct(F.concat(s["done"], F.array(escape(F.array_join(s["run"], ""))), F.array(mark)).alias("done"), F.array().cast(texts).alias("run"), F.concat(s["attachments"], F.array(own)).alias("attachments"), *seen)
+        return F.when(kind(p) == "text", said).otherwise(placed)
+
+    def end(s: Column) -> Column:
+        return F.struct(F.concat(F.array_join(s["done"], ""), escape(F.array_join(s["run"], ""))).alias("body"), s["attachments"].alias("attachments"))
+
+    known = F.coalesce(parts, F.array().cast("array<struct<kind:string,text:string,ref:string,tokens:bigint>>"))
+    return F.aggregate(known, start, step, end)
 
 
 def text_part(text: Column) -> Column:
