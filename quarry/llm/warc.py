@@ -3,12 +3,18 @@
 Every record is a gzip member of its own. The reader takes members (or, in plain archives, records) one
 after another and checks length and digests; after a failure it searches for the next member whose
 content begins with a version line (or the next version line), goes on there, and logs the bytes between
-as a gap. Archives are read through a window, so memory is bounded by the largest record.
+as a gap. If a damaged plain record's own length leads to a sound record or the end, the gap ends there, so
+that records quoted in its payload are not taken for records. Otherwise what the search finds counts if it
+is whole, names its type and id, and proves itself: by a digest that holds, by the member's checksum, or, if
+it has neither, by a record or the end right behind it. Archives are read through a window, so memory is
+bounded by the largest record.
 
 Writing: equal payloads of at least `least` bytes are stored once, in the record of the smallest page_id;
 the others revisit it. Only digests are grouped; each payload is shuffled once, to the task that writes it.
 A task writes to a name of its own try and renames, so a task that runs again leaves the same archives.
 
+read_archives logs gaps as rows; read_pages, for archives that must be whole, raises on any.
+
 Defined results: a null html is an empty payload; a null url is an empty URI; line breaks in URLs are
 percent-encoded; rows that repeat page_id and payload are each a response if they hold the smallest id; a
 null page_id counts as the largest and is never referred to. No rows give no archives and no records.
@@ -28,10 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_dir, slices, table
+from .common import checkpointed, fresh_dir, slices, spread_join, table
 
 ARCHIVE_BYTES = 32 << 20
 WINDOW_BYTES = 1 << 20
+#: What a gzip member and an uncompressed record begin with.
+MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: The largest head of a record of a plain archive; one that is larger is damage.
+HEAD_BYTES = 1 << 26
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -121,14 +131,15 @@ def _checked(fields: dict, block: bytes) -> dict:
 
 
 def _plain_head(source: Window, at: int) -> bytes:
-    """What holds the head of an uncompressed record, of 1 MiB at most."""
+    """What holds the head of an uncompressed record; a head may be of HEAD_BYTES at most."""
     n = 1 << 13
-    while b"\r\n\r\n" not in (data := source.read(at, n)) and n < 1 << 20 and len(data) == n:
+    while b"\r\n\r\n" not in (data := source.read(at, n)) and n < HEAD_BYTES and len(data) == n:
         n *= 2
     return data
 
 
 def _record_at(source: Window, at: int, packed: bool) -> tuple[dict, int]:
+    """The record at a place, and where it ends."""
     if packed:
         data, end = _member(source, at)
         fields, start = _head(data)
@@ -137,59 +148,90 @@ def _record_at(source: Window, at: int, packed: bool) -> tuple[dict, int]:
         return _checked(fields, data[start : start + int(fields["content-length"])]), end
     fields, start = _head(_plain_head(source, at))
     found = _checked(fields, source.read(at + start, int(fields["content-length"])))
-    end = at + start + int(fields["content-length"])
-    while source.read(end, 2) == b"\r\n":
-        end += 2
-    return found, end
+    return found, _past_breaks(source, at + start + int(fields["content-length"]))
+
+
+def _past_breaks(source: Window, at: int) -> int:
+    while source.read(at, 2) == b"\r\n":
+        at += 2
+    return at
 
 
 def salvage(file, size: int) -> Iterator[tuple[str, int, int, object]]:
     """('record', from, to, record) and ('gap', from, to, reason), which together cover the archive."""
     source, at = Window(file, size), 0
-    packed = source.read(0, 5) != b"WARC/"
-    mark = b"\x1f\x8b\x08" if packed else b"WARC/1."
+    packed = source.read(0, 2) == MEMBER[:2] or (source.read(0, 5) != VERSION[:5] and _first(source, MEMBER) < _first(source, VERSION))
+    mark = MEMBER if packed else VERSION
     while at < size:
         try:
             found, end = _record_at(source, at, packed)
         except Damaged as error:
             why, start = str(error), at
-            at = _next(source, at + 1, mark, packed)
+            at = _claimed(source, at, packed) or _next(source, at + 1, mark, packed)
             yield "gap", start, at, why
             continue
         yield "record", at, end, found
         at = end
 
 
-def _next(source: Window, at: int, mark: bytes, packed: bool) -> int:
-    """The next place where a record begins; the end if there is none."""
+def _claimed(source: Window, at: int, packed: bool) -> int | None:
+    """The end of a damaged plain record by its own length, if a sound record or the end of the archive is there."""
+    if packed:
+        return None
+    try:
+        fields, start = _head(_plain_head(source, at))
+        end = _past_breaks(source, at + start + int(fields["content-length"]))
+        return end if end == source.size or (end < source.size and _sound(source, end, packed)) else None
+    except Damaged:
+        return None
+
+
+def _first(source: Window, mark: bytes, at: int = 0) -> int:
+    """The first place of the mark from a place on; the end if there is none."""
     while at < source.size:
         piece = source.read(at, 1 << 16)
         hit = piece.find(mark)
-        if hit < 0:
-            at += max(1, len(piece) - len(mark) + 1)
-            continue
-        at += hit
+        if hit >= 0:
+            return at + hit
+        at += max(1, len(piece) - len(mark) + 1)
+    return source.size
+
+
+def _next(source: Window, at: int, mark: bytes, packed: bool) -> int:
+    """The next place where a record that proves itself begins; the end if there is none."""
+    while (at := _first(source, mark, at)) < source.size:
         try:
-            if packed:
-                _head(_member(source, at)[0])
-            else:
-                _head(_plain_head(source, at))
-            return at
+            if _sound(source, at, packed):
+                return at
         except Damaged:
-            at += 1
+            pass
+        at += 1
     return source.size
 
 
+def _sound(source: Window, at: int, packed: bool) -> bool:
+    """Whether the whole record at a place names its type and id and proves itself; damage raises."""
+    found, end = _record_at(source, at, packed)
+    fields = found["fields"]
+    if not fields.get("warc-type") or not fields.get("warc-record-id"):
+        return False
+    checked = ["warc-block-digest"] + ["warc-payload-digest"] * (fields["warc-type"] != "revisit")
+    return packed or any(fields.get(name, "").startswith("sha1:") for name in checked) or end >= source.size or source.read(end, len(VERSION)) == VERSION
+
+
 def referred(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: the smallest page_id with the same payload, null for that one itself."""
+    """page_id, url, html, refers_to: the smallest page_id with the same payload, null for that one itself.
+
+    Only digests are grouped; a payload travels once, to the task of its page_id and digest.
+    """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    key = F.struct(F.octet_length("html").alias("n"), F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
-    small = own.select("page_id", key.alias("key")).where(F.col("key.n") >= least)
-    firsts = small.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = small.join(firsts, "key").where(~F.col("page_id").eqNullSafe(F.col("first"))).groupBy("page_id", "key.sha").agg(F.min("first").alias("refers_to"))
-    again = again.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to")
-    rows = own.join(again.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_sha", "refers_to"))).alias("_to")), F.col("page_id").eqNullSafe(F.col("_id")), "left")
-    return rows.select("page_id", "url", "html", F.when(F.col("_to").isNotNull(), F.col("_to")[F.sha2(F.col("html").cast("binary"), 256)]).alias("refers_to"))
+    sha = F.sha2(F.col("html").cast("binary"), 256)
+    small = own.where(F.octet_length("html") >= least).select("page_id", sha.alias("sha"))
+    firsts = small.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = spread_join(small, firsts, ["sha"], "n").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = again.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to")).distinct()
+    rows = own.withColumn("sha", sha)
+    return rows.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, directory: str, least: int = 0, packed: bool = True) -> DataFrame:
@@ -267,11 +309,23 @@ def read_archives(paths: DataFrame) -> DataFrame:
     return paths.select("path").repartition(parts, "path").mapInArrow(run, "path string, kind string, begin long, end long, reason string, type string, record_id string, uri string, refers_to string, payload_digest string, payload binary")
 
 
-def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+def read_pages(archives: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a gap raises.
+
+    A revisit has the length of the response that it refers to, null if that is not in the archives.
+    """
     page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
-    found = checkpointed(read_archives(archives).where("kind = 'record'").select(page(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("n"), "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to")))
+    lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("begin").cast("string"), F.lit(": "), "reason")).cast("string")
+    name = F.when(F.col("kind") == "record", F.col("record_id")).otherwise(lost)
+    rows = read_archives(archives).select(page(name).alias("page_id"), F.octet_length("payload").cast("long").alias("n"), "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to"))
+    found = checkpointed(rows)
     kept = found.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    whole = kept.groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    again = found.where("record_type <> 'response'").join(whole, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")))
-    return kept.unionByName(again.select(kept.columns))
+    whole = kept.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    again = found.where("record_type <> 'response'").drop("n")
+    asked = again.groupBy("refers_to", "payload_digest").agg(F.count("*").alias("asks")).join(whole.hint("merge"), ["refers_to", "payload_digest"], "left")
+    vague = again.where("refers_to IS NULL OR payload_digest IS NULL").withColumn("payload_bytes", F.lit(None).cast("long"))
+    return kept.unionByName(spread_join(again, asked, ["refers_to", "payload_digest"], "asks").select(kept.columns)).unionByName(vague.select(kept.columns))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pages(write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc")))
