@@ -49,7 +49,7 @@ def brute_winnow(codes, k, w):
         return []
     k = min(k, n)
     grams = [int(winnow._kgrams(np.array(codes[i : i + k], np.uint32), k)[0]) >> winnow.PLACE for i in range(n - k + 1)]
-    w, out = min(w, len(grams)), []
+    w, out = min(w if n >= winnow.SHORT else max(1, n * w // winnow.SHORT), len(grams)), []
     for i in range(len(grams) - w + 1):
         best = min(grams[i : i + w])
         at = max(j for j in range(i, i + w) if grams[j] == best)
@@ -62,7 +62,7 @@ def brute_winnow(codes, k, w):
 def test_winnowing_against_brute_force(k, w, monkeypatch):
     monkeypatch.setattr(winnow, "PIECE", 37)
     for seed in range(8):
-        t = gibberish(seed, seed * 40)
+        t = gibberish(seed, seed * 150)
         assert winnow.winnow(winnow.code_points(t), k, w)[1].tolist() == brute_winnow([ord(c) for c in t], k, w)
 
 
@@ -170,16 +170,22 @@ def test_line_dedup(spark):
     rows = {r.doc_id: (r.text, r.n_cut) for r in linededup.without_repeats(documents(spark, texts)).collect()}
     r = random.Random(8)
     wild = [None if r.random() < 0.1 else "\n".join(r.choice("abc ") for _ in range(r.randrange(14))) for _ in range(40)]
-    seen = set()
-    for got, t in zip(sorted(linededup.without_repeats(documents(spark, wild)).collect(), key=lambda x: x.doc_id), wild, strict=True):
+    first = {}
+    for i, (got, t) in enumerate(zip(sorted(linededup.without_repeats(documents(spark, wild)).collect(), key=lambda x: x.doc_id), wild, strict=True)):
         lines, cut = (t or "").split("\n"), set()
         for p in range(len(lines) - 2):
             g = tuple(lines[p : p + 3])
             if any(x.strip() for x in g):
-                cut |= {p, p + 1, p + 2} if g in seen else set()
-                seen.add(g)
+                if g in first:  # what lies in the window's own first occurrence stays
+                    cut |= {j for j in range(p, p + 3) if first[g][0] != i or j >= first[g][1] + 3}
+                first.setdefault(g, (i, p))
         assert got.n_cut == len(cut) and got.text == (t if not cut else "\n".join(x for i, x in enumerate(lines) if i not in cut))
     assert rows == {0: ("a\nb\nc\nd", 0), 1: ("x\ny", 4), 2: (None, 0), 3: ("", 0), 4: ("", 3), 5: ("\n\n\n\n\n\n", 0)}
+    own = [r.text for r in linededup.without_repeats(documents(spark, ["a\na\na\na\na\na", "q\nx\ny\nx\ny\nx"])).orderBy("doc_id").collect()]
+    assert own == ["a\na\na", "q\nx\ny\nx"]
+    clash = documents(spark, ["a\nb\nc", "a\nb\nc"]).selectExpr("*", "'i' AS _id", "1 AS _cut", "2 AS _own", "3 AS _kept", "4 AS cut", "5 AS n_cut", "6 AS _row")
+    made = linededup.without_repeats(clash).orderBy("doc_id").collect()
+    assert [(r.text, r.n_cut, r._id, r._cut, r._own, r._kept, r.cut, r._row) for r in made] == [("a\nb\nc", 0, "i", 1, 2, 3, 4, 6), ("", 3, "i", 1, 2, 3, 4, 6)]
 
 
 def test_chat_round_trip(spark):
@@ -267,7 +273,7 @@ def test_empty_and_null_tables(spark):
     for made in (mixing.mixed_documents(nothing), simhash.keep_representatives(nothing), linededup.cut_lines(nothing), quality.keep_good(nothing), packing.packed(nothing, *bpe.default_vocabulary())):
         assert made.count() == 0
     blank = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, "a b c " * 9, None, None, None)] * 2, DOCS)
-    assert [f(blank).count() for f in (simhash.keep_representatives, linededup.cut_lines, quality.keep_good)] == [3, 4, 0]
+    assert [f(blank).count() for f in (simhash.keep_representatives, linededup.cut_lines, quality.keep_good)] == [2, 4, 0]
 
 
 def test_alike_texts_share_a_group(spark):
