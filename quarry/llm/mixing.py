@@ -1,18 +1,19 @@
 """Mixing sources to target weights.
 
 Each source's documents, in a pseudorandom order, form one stream of words that is packed into blocks of
-fixed length. Every output shard has a fixed number of slots and draws how many of them each source
-fills: the whole part of its expectation, and a multinomial draw over the fractional parts for the
-slots that are left, so that a source strays from its target by a few blocks at most. The slots of a
-source, numbered through all shards, run through pseudorandom permutations of its block indexes, a new
-one for each epoch; slots and blocks are joined by index.
+fixed length. Every output shard has a fixed number of slots and draws from a multinomial how many of them
+each source fills. A plain draw strays from its targets as any draw does, so it is reconciled: the slots
+of a source, numbered through all shards, beyond its target are handed to the sources that fell short, in
+order, which leaves all shards as they were drawn but for the last slots of the sources drawn too often.
+The slots of a source run through pseudorandom permutations of its block indexes, a new one for each
+epoch; slots and blocks are joined by index.
 
 Targets come from water-filling: sources weigh 1, 2, 3, repeating, in code-point order (null last), and
-none exceeds `most` times its size; slots that would repeat a block more often than that are not filled.
+none exceeds `most` times its size.
 
 Defined results: null and empty texts and those without words have size 0 and are never taken; repeated
-rows are mixed each on its own; no rows give no rows; other columns pass through. Only the table of
-sources reaches the driver, and more than MAX_SOURCES of them are refused.
+rows are mixed each on its own; no rows give no rows; of other columns than those of documents none is read
+or returned. Only the table of sources reaches the driver, and more than MAX_SOURCES of them are refused.
 """
 
 from __future__ import annotations
@@ -31,26 +32,30 @@ from pyspark.sql import functions as F
 from .common import DOCUMENT_COLUMNS, WORD, checkpointed, count_words, slices, table
 
 MAX_SOURCES = 100_000
-#: Streams are ordered by these buckets first, which lets offsets be summed in parallel within a source.
-BUCKETS = 1024
+#: Streams are ordered by buckets of about so many documents first, which lets offsets be summed in parallel within a source.
+BUCKET_ROWS = 4096
 SLOTS_PER_SHARD = 4096
 SHARDS_PER_GROUP = 256
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What the driver knows of the mix: per source its size, target, number of blocks and slots expected."""
+    """What the driver knows of the mix: per source its size, target, number of blocks and slots wanted."""
 
     sources: list
     sizes: list
     targets: list
     blocks: list
-    slots: int
-    shares: list
+    wanted: list
+    buckets: int
     block_words: int
     most: int
     seed: int
 
+    @property
+    def slots(self) -> int:
+        return sum(self.wanted)
+
     @property
     def shards(self) -> int:
         return -(-self.slots // SLOTS_PER_SHARD)
@@ -80,16 +85,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame, block_words: int, most: int, seed: int) -> Plan:
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] or 0 for r in found]
     targets = water_fill(sizes, [i % 3 + 1 for i in range(len(sizes))], most)
     blocks = [-(-s // block_words) for s in sizes]
-    expected = [t * b / s if s else 0.0 for t, b, s in zip(targets, blocks, sizes, strict=True)]
-    total = sum(expected)
-    return Plan([r["source"] for r in found], sizes, targets, blocks, round(total), [e / total if total else 0.0 for e in expected], block_words, most, seed)
+    # A source's slots: its target in blocks as they are on average, none beyond `most` epochs.
+    wanted = [min(most * b, round(t * b / s)) if s else 0 for t, b, s in zip(targets, blocks, sizes, strict=True)]
+    buckets = 1 << max(0, (max((r["n"] for r in found), default=1) // BUCKET_ROWS).bit_length())
+    return Plan([r["source"] for r in found], sizes, targets, blocks, wanted, buckets, block_words, most, seed)
 
 
 def _permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -110,45 +116,64 @@ def _permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def draws(spark: SparkSession, mix: Plan) -> DataFrame:
-    """shard, sid, taken: how many of a shard's slots each source fills."""
-    shares, slots, seed = np.array(mix.shares), mix.slots, mix.seed
+    """shard, sid, taken: how many of a shard's slots each source draws, by a multinomial of the shard's own."""
+    wanted, slots, seed = np.array(mix.wanted, np.float64), mix.slots, mix.seed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
-                expected = min(SLOTS_PER_SHARD, slots - shard * SLOTS_PER_SHARD) * shares
-                counts = np.floor(expected + 1e-9).astype(np.int64)
-                rest = int(round(expected.sum())) - int(counts.sum())
-                if rest > 0:
-                    part = np.clip(expected - counts, 0, None)
-                    counts += np.random.default_rng([seed, int(shard)]).multinomial(rest, part / part.sum())
+                counts = np.random.default_rng([seed, int(shard)]).multinomial(min(SLOTS_PER_SHARD, slots - int(shard) * SLOTS_PER_SHARD), wanted / wanted.sum())
                 sid = np.flatnonzero(counts)
                 yield pd.DataFrame({"shard": shard, "sid": sid, "taken": counts[sid]})
 
     return spark.range(mix.shards).mapInPandas(run, "shard long, sid long, taken long")
 
 
+class Reconciled:
+    """Slots of sources as drawn, mapped onto slots within the targets: what one source drew too often another gets."""
+
+    def __init__(self, wanted: list[int], drawn: list[int]):
+        self.wanted, self.drawn = np.array(wanted, np.int64), np.array(drawn, np.int64)
+        over = np.maximum(self.drawn - self.wanted, 0)
+        self.spare_from = np.cumsum(over) - over  # where a source's spare slots begin among all spare ones
+        self.short_to = np.cumsum(np.maximum(self.wanted - self.drawn, 0))
+
+    def settle(self, sid: int, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Source and index of each slot that source sid drew as its index-th."""
+        sids = np.full(index.size, sid, np.int64)
+        spare = index >= self.wanted[sid]
+        if spare.any():
+            at = self.spare_from[sid] + index[spare] - self.wanted[sid]
+            to = np.searchsorted(self.short_to, at, side="right")
+            # The first slots that a source still wants come after those that it drew itself.
+            sids[spare] = to
+            index = index.copy()
+            index[spare] = self.wanted[to] - (self.short_to[to] - at)
+        return sids, index
+
+
 def slots(spark: SparkSession, mix: Plan) -> DataFrame:
-    """shard, sid, epoch, block of every slot that is filled."""
+    """shard, sid, epoch, block of every slot."""
     drawn = checkpointed(draws(spark, mix).withColumn("part", F.floor(F.col("shard") / SHARDS_PER_GROUP)))
+    totals = {r["sid"]: r["n"] for r in drawn.groupBy("sid").agg(F.sum("taken").alias("n")).collect()}  # a row a source
+    settled = Reconciled(mix.wanted, [totals.get(i, 0) for i in range(len(mix.wanted))])
     ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = drawn.groupBy("sid", "part").agg(F.sum("taken").alias("n")).select("sid", "part", F.coalesce(F.sum("n").over(ahead.partitionBy("sid")), F.lit(0)).alias("base"))
     within = W.partitionBy("sid", "part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     first = drawn.withColumn("ahead", F.coalesce(F.sum("taken").over(within), F.lit(0))).join(base.hint("merge"), ["sid", "part"]).select("shard", "sid", "taken", (F.col("base") + F.col("ahead")).alias("first"))
-    blocks, most, seed = mix.blocks, mix.most, mix.seed
+    blocks, seed = np.array(mix.blocks, np.int64), mix.seed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, sid, taken, first_slot in batch[["shard", "sid", "taken", "first"]].itertuples(index=False):
-                n = blocks[sid]
-                j = first_slot + np.arange(taken)
-                j = j[j < most * n]
-                epoch = j // n
-                block = np.empty(j.size, np.int64)
-                for e in np.unique(epoch):
-                    at = epoch == e
-                    block[at] = _permuted(j[at] % n, n, hash((seed, int(sid), int(e))) & 0xFFFFFFFFFFFFFFFF)
-                yield pd.DataFrame({"shard": shard, "sid": sid, "epoch": epoch, "block": block})
+            for shard, drawer, taken, first_slot in batch[["shard", "sid", "taken", "first"]].itertuples(index=False):
+                sids, index = settled.settle(drawer, first_slot + np.arange(taken))
+                epoch = index // blocks[sids]
+                block = np.empty(index.size, np.int64)
+                for sid, e in set(zip(sids.tolist(), epoch.tolist(), strict=True)):
+                    at = (sids == sid) & (epoch == e)
+                    n = int(blocks[sid])
+                    block[at] = _permuted(index[at] % n, n, hash((seed, sid, e)) & 0xFFFFFFFFFFFFFFFF)
+                yield pd.DataFrame({"shard": shard, "sid": sids, "epoch": epoch, "block": block})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return first.repartition(parts, "shard").mapInPandas(run, "shard long, sid long, epoch long, block long")  # few rows that become many
@@ -159,7 +184,7 @@ def located(rows: DataFrame, mix: Plan) -> DataFrame:
     spark = rows.sparkSession
     named = spark.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(zip(mix.sources, mix.sizes, mix.targets, strict=True))], "sid long, name string, source_size long, target double")
     known = rows.join(F.broadcast(named), rows.source.eqNullSafe(named.name)).drop("name")  # bounded by MAX_SOURCES
-    known = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(mix.seed)), F.lit(BUCKETS)))
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", F.lit(mix.seed)), F.lit(mix.buckets)))
     sums = known.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     base = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie")
