@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
-from .common import slices, table
+from .common import fresh_dir, slices, table
 
 ROW_TOKENS = 2048
 GROUP_TOKENS = 1 << 21
@@ -169,5 +169,32 @@ def write_matrices(rows: DataFrame, directory: str, row_tokens: int = ROW_TOKENS
     return rows.sparkSession.read.parquet(index).select(*[F.col(n) for n in names])
 
 
+def read_matrices(index: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
+    """The rows of an index with their ids (input_ids), read back from the files; a file that ends early raises."""
+    names = [*index.columns, "input_ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch, 512)):
+            ids, file, at = [], None, None
+            for path, begin in zip(part.column("path").to_pylist(), part.column("bytes_from").to_pylist(), strict=True):
+                if path != at:
+                    if file is not None:
+                        file.close()
+                    store, name = fs.FileSystem.from_uri(path)
+                    file, at = store.open_input_file(name), path
+                ids.append(file.read_at(4 * row_tokens, begin))
+                if len(ids[-1]) != 4 * row_tokens:
+                    raise ValueError(f"{path} ends within the row at {begin}")
+            if file is not None:
+                file.close()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema) + ", input_ids binary"
+    return index.mapInArrow(run, schema)
+
+
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), *default_vocabulary())
+    """Packs every document, writes the matrices and their index, and returns the index with the ids read back."""
+    rows = packed(table(spark, sf_dir, "documents"), *default_vocabulary())
+    index = write_matrices(rows, fresh_dir(spark, "matrices"))
+    return read_matrices(index).select(*_NAMES)
