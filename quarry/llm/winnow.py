@@ -1,8 +1,11 @@
 """Winnowing fingerprints of documents.
 
 Rolling hashes of all k-grams of code points; in each window of w hashes the smallest is chosen, the
-rightmost of equal ones; a hash chosen by neighbouring windows is kept once, with its position. Any
-match of k + w - 1 code points shares a fingerprint, and the positions say where.
+rightmost of equal ones; a hash chosen by neighbouring windows is kept once, with its position. Windows
+compare the upper ORDER_BITS of the hashes; what is kept has all 64, so that chance matches stay rare over
+any corpus. Any match of k + w - 1 code points shares a fingerprint, and the positions say where.
+A text of fewer than SHORT code points has windows that are narrower in proportion, of one hash at least: what wide windows choose within it, narrow ones choose as well, so the match with longer texts
+stands, and short texts too share hashes with what was edited from them, if k code points are left as they were.
 
 Defined results: a null text counts as empty; an empty text has no hash, and two texts without hashes
 are alike (1.0); a text shorter than k is one k-gram of its own length; one with fewer than w k-grams
@@ -23,9 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-K, W = 32, 69
-HASH_BITS = 40
-PLACE = 64 - HASH_BITS
+K, W = 16, 85
+#: Upper bits of a hash by which windows choose; the rest of the word holds the place while they do.
+ORDER_BITS = 40
+PLACE = 64 - ORDER_BITS
+#: Texts of so many code points have windows of full width.
+SHORT = 680
 PIECE = 1 << 20
 _BASE, _CHAR, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
 
@@ -60,13 +66,18 @@ def _window_minima(keys: np.ndarray, w: int) -> np.ndarray:
     return run if length == w else np.minimum(run[: length - w], run[w - length :])
 
 
+def width(n: int, w: int = W) -> int:
+    """The number of k-grams in a window of a text of n code points."""
+    return w if n >= SHORT else max(1, n * w // SHORT)
+
+
 def winnow(codes: np.ndarray, k: int = K, w: int = W, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, their positions, and the first window that chose each; windows before start are left out."""
     n = codes.size
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     k = min(k, n)
-    w = min(w, n - k + 1)
+    w = min(width(n, w), n - k + 1)
     windows = n - k - w + 2
     hashes, places, first, last = [], [], [], -1
     mask = np.uint64((1 << PLACE) - 1)
@@ -81,7 +92,7 @@ def winnow(codes: np.ndarray, k: int = K, w: int = W, start: int = 0) -> tuple[n
         if last == place[0]:
             least, place, new = least[1:], place[1:], new[1:]
         last = place[-1] if place.size else last
-        hashes.append(least >> np.uint64(PLACE))
+        hashes.append(grams[place - at])
         places.append(place)
         first.append(new + at)
     if not hashes:
@@ -93,9 +104,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def edited_fingerprint(codes: np.ndarray, same: int, own: tuple, k: int = K, w: int = W) -> np.ndarray:
-    """Hashes of an edited text that shares its first `same` code points with a text of fingerprint own."""
-    kept = max(0, same - (k + w - 1) + 1)
+def edited_fingerprint(codes: np.ndarray, same: int, n: int, own: tuple, k: int = K, w: int = W) -> np.ndarray:
+    """Hashes of an edited text that shares its first `same` code points with a text of n code points and fingerprint own."""
+    # Windows of the head are those of the text it comes from only if both have the same width.
+    kept = max(0, same - (k + width(codes.size, w) - 1) + 1) if width(n, w) == width(codes.size, w) else 0
     hashes, places, _ = winnow(codes, k, w, kept)
     if not kept:
         return hashes
@@ -106,7 +118,7 @@ def edited_fingerprint(codes: np.ndarray, same: int, own: tuple, k: int = K, w:
 
 
 def as_text(hashes: np.ndarray) -> str:
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BITS // 8 :].tobytes().hex()
+    return hashes.astype(">u8").tobytes().hex()
 
 
 def likeness(a: set, b: set) -> float:
@@ -177,7 +189,7 @@ def edited_likeness(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
                 half = a.size // 2
                 same = a.size - half
                 edited = np.concatenate((a[:same], codes[:half]))
-                hashes = edited_fingerprint(edited, same, fp, k, w)
+                hashes = edited_fingerprint(edited, same, a.size, fp, k, w)
                 sha = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest()
                 values = (last_id, a.size, sha, as_text(fp[0]), as_text(hashes), likeness(known, set(hashes.tolist())), likeness(known, current[5]), fp[1].tolist())
                 for column, value in zip(out, values, strict=True):
