@@ -5,8 +5,8 @@ and every rule of the table hold.
 
 Defined results: a null text counts as empty; a text without words fails the base rules, so no ratio is
 taken over nothing. Repeated rows are judged each on its own; other columns pass through unless they
-bear the name of a figure, which replaces them. Texts of any length are judged whole: repeated windows are
-found by sorting their hashes within the row.
+bear the name of a figure, which replaces them; no rows give no rows. Texts of any length are judged whole:
+repeated windows are found by sorting their hashes within the row.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
 ]
 
 
-def _repeat_words(words: Column) -> Column:
-    """How many words stand in windows of NGRAM words that occur twice or more."""
+def _repeat_words(hashes: Column) -> Column:
+    """How many words, given by their hashes, stand in windows of NGRAM words that occur twice or more."""
 
-    def covered(hashes: Column) -> Column:
+    def covered(grams: Column) -> Column:
         def places(order: Column) -> Column:
             same = lambda x, i: F.coalesce(F.get(order, i)["h"] == x["h"], F.lit(False))
             twice = F.filter(order, lambda x, i: same(x, i - 1) | same(x, i + 1))
@@ -52,36 +52,51 @@ def _repeat_words(words: Column) -> Column:
             steps = F.transform(p, lambda x, i: F.least(F.lit(NGRAM), F.coalesce(F.get(p, i + 1) - x, F.lit(NGRAM))))
             return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-        return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda order: let(places(order), total))
+        return let(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda order: let(places(order), total))
 
     def windows(h: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.size(h) - NGRAM), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(NGRAM)]))
         return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) > NGRAM, windows(h)).otherwise(F.lit(0)))
+    return F.when(F.size(hashes) > NGRAM, windows(hashes)).otherwise(F.lit(0))
+
+
+def _stutters(hashes: Column) -> Column:
+    """How many words equal the one before them."""
+    return F.size(F.filter(hashes, lambda h, i: F.coalesce(h == F.get(hashes, i - 1), F.lit(False))))
+
+
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_exclaims", "n_lines", "n_dup_lines", "n_repeat_words", "n_stops", "n_stutters"]
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """Adds the base figures of the whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Adds the base figures of the whole text, in place of columns of their names."""
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in FIGURES]
+    return _counted(rows, F.col("_text")).select(*own, *[F.col(c).cast("long").alias(c) for c in FIGURES])
+
+
+def _counted(rows: DataFrame, text: Column) -> DataFrame:
     words = F.filter(F.split(text, SPACES, -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     length = F.length(text)
     without = lambda chars: F.length(F.translate(text, chars, ""))
-    per_words = let(words, lambda w: F.struct(_repeat_words(w).alias("repeats"), F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).alias("stops"), F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))).alias("stutters")))
+
+    def of_words(own: Column) -> Column:
+        stops = F.size(F.filter(own, lambda w: F.lower(w).isin(STOP_WORDS)))
+        return let(F.transform(own, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n"), _repeat_words(h).alias("repeats"), stops.alias("stops"), _stutters(h).alias("stutters")))
+
     per_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
-    held = docs.withColumns({"n_words": count_words(F.col("text")), "word_chars": without(WHITE).cast("long"), "n_symbols": (length - without(SYMBOLS)).cast("long"), "n_exclaims": (length - without("!")).cast("long"), "_words": per_words, "_lines": per_lines})
-    return held.withColumns({
-        "n_lines": F.col("_lines.n").cast("long"),
-        "n_dup_lines": (F.col("_lines.n") - F.col("_lines.distinct")).cast("long"),
-        "n_repeat_words": F.col("_words.repeats").cast("long"),
-        "n_stops": F.col("_words.stops").cast("long"),
-        "n_stutters": F.col("_words.stutters").cast("long"),
-    }).drop("_words", "_lines")
+    held = rows.withColumns({"_words": let(words, of_words), "_lines": per_lines, "_length": length})
+    made = {
+        "n_words": F.col("_words.n"), "word_chars": without(WHITE), "n_symbols": F.col("_length") - without(SYMBOLS), "n_exclaims": F.col("_length") - without("!"), "n_lines": F.col("_lines.n"),
+        "n_dup_lines": F.col("_lines.n") - F.col("_lines.distinct"), "n_repeat_words": F.col("_words.repeats"), "n_stops": F.col("_words.stops"), "n_stutters": F.col("_words.stutters"),
+    }
+    return held.select("_row", *[v.alias(k) for k, v in made.items()])
 
 
 def judged(docs: DataFrame, rules: list = RULES) -> DataFrame:
-    """Adds figures, base_failed and kept."""
+    """Adds figures, base_failed and kept, in place of columns of their names."""
     verdict = F.lit(True)
     for _, figure, least, most in rules:
         value = F.expr(figure)
