@@ -2,12 +2,14 @@
 
 Features of a URL: length, depth, digit ratio, character entropy, number of parameters, host labels and
 statistics of its suffix. The trees are fitted on URLs labelled by a verdict, on at most `sample` of them
-(smallest hashes of the URL first, a documented bound), and then judge every URL. Everything runs as
-DataFrame functions and Spark's own tree ensemble; no Python runs on the executors.
+(smallest hashes of the URL first, a documented bound), and then judge every URL. The blocked share of a
+suffix, one of the features, is taken out of fold while the trees are fitted: a URL's own half of the
+sample has no part in it. Everything runs as DataFrame functions and Spark's own tree ensemble; no Python
+runs on the executors.
 
 Defined results: a null URL or one without :// has an empty host and path and no rule; no rule fits an
-empty host. With labels of one class only, or none, every URL gets that class (allow if none). Repeated
-rows and clashing column names change nothing: only page_id and url are read.
+empty host. With labels of one class only, or none, every URL gets that class (allow if none). No rows give
+no rows; repeated rows and clashing column names change nothing: only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -54,14 +56,15 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, let(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")), of)).otherwise(F.lit(0.0))
 
 
-def features(urls: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """Adds host, path and the lexical features; shares: the blocked share of labelled URLs by suffix."""
+def features(urls: DataFrame, shares: list[dict[str, float]]) -> DataFrame:
+    """Adds host, path and the lexical features; shares: the blocked share of labelled URLs by suffix, one for each value of the column fold if there is more than one."""
     host, path = host_and_path(F.col("url"))
     base = urls.withColumns({"host": host, "path": path, "_u": F.coalesce("url", F.lit(""))})
     n = F.greatest(F.length("_u"), F.lit(1))
     query = F.regexp_extract("_u", r"\?([^#]*)", 1)
     suffix = F.substring_index("host", ".", -1)
-    known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[suffix] if shares else F.lit(None).cast("double")
+    of = lambda own: F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[suffix] if own else F.lit(None).cast("double")
+    known = of(shares[0]) if len(shares) == 1 else F.coalesce(*[F.when(F.col("fold") == i, of(own)) for i, own in enumerate(shares)])
     made = {
         "url_length": F.length("_u"), "depth": F.regexp_count("path", F.lit("/[^/]")), "digit_ratio": F.regexp_count("_u", F.lit("[0-9]")) / n, "entropy": _entropy(F.col("_u")),
         "n_params": F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("&")) + 1), "n_labels": F.regexp_count("host", F.lit("[^.]+")), "host_length": F.length("host"),
@@ -75,19 +78,24 @@ class UrlFilter:
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE, rounds: int = 10, depth: int = 4, seed: int = 7):
         own = labelled.where("verdict IN ('allow', 'block')").select("url", "verdict").orderBy(F.xxhash64("url"), "url", "verdict").limit(sample)
-        rows = own.withColumn("label", (F.col("verdict") == "block").cast("double")).persist()
+        rows = own.select("url", (F.col("verdict") == "block").cast("double").alias("label"), F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(2)).alias("fold")).persist()
         try:
-            host, _ = host_and_path(F.col("url"))
-            by = rows.groupBy(F.substring_index(host, ".", -1).alias("suffix")).agg(F.avg("label").alias("share"), F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), "suffix").limit(200).collect()
-            self.shares = {r["suffix"]: r["share"] for r in by}
             found = rows.agg(F.avg("label")).first()[0]
             self.constant = "allow" if found in (None, 0.0) else "block" if found == 1.0 else None
-            self.model = None
+            self.shares, self.model = [self._shares(rows)], None
             if self.constant is None:
-                self.model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="_f", labelCol="label").fit(self._vectors(features(rows, self.shares)).coalesce(4))
+                apart = [self._shares(rows.where(F.col("fold") != i)) for i in range(2)]
+                self.model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="_f", labelCol="label").fit(self._vectors(features(rows, apart)).coalesce(4))
         finally:
             rows.unpersist()
 
+    @staticmethod
+    def _shares(rows: DataFrame) -> dict[str, float]:
+        """The blocked share of the most frequent suffixes, 200 at most, of 5 URLs at least."""
+        host, _ = host_and_path(F.col("url"))
+        by = rows.groupBy(F.substring_index(host, ".", -1).alias("suffix")).agg(F.avg("label").alias("share"), F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), "suffix").limit(200).collect()
+        return {r["suffix"]: r["share"] for r in by}
+
     @staticmethod
     def _vectors(rows: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=FEATURES, outputCol="_f").transform(rows)
@@ -104,6 +112,14 @@ class UrlFilter:
         return said.select(*own, "host", "path", verdict.alias("model_verdict"))
 
 
+def held_out_accuracy(labelled: DataFrame, **options) -> float | None:
+    """The share of URLs judged as labelled among the fifth of them, by hash, that the trees were not fitted on; null if it is empty."""
+    apart = F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(5)) == 0
+    model = UrlFilter(labelled.where(~apart), **options)
+    right = (F.col("model_verdict") == F.col("verdict")).cast("double")
+    return model.judge(labelled.where(apart).select("url", "verdict")).agg(F.avg(right)).first()[0]
+
+
 def with_rules(urls: DataFrame, rules: list = RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rule, verdict = rule_of(host, path, rules)
