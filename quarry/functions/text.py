@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BULLET = "•"
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def trim_all(text: Column) -> Column:
@@ -22,17 +22,13 @@ def collapse(text: Column) -> Column:
 def clean_extracted(text: Column) -> Column:
     """Line ends, bullets, template leftovers and blank lines of text taken from a page layout."""
     for pattern, put in (
-        (r"\r\n?", "\n"), ("\u007f", f"\n{BULLET} "), ("[●▪◦]", BULLET), (r"(?i)\{generate_achievements\([^)]*\)\}", ""),
+        (r"\r\n?", "\n"), ("\u007f", f"\n{BULLET} "), ("[●▪◦]", BULLET), (r"(?i)\{generate_achievements\([^}]*\)\}", ""),
         (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"),
     ):
         text = F.regexp_replace(text, pattern, put)
     return trim_all(text)
 
 
-def strip_accents(text: Column) -> Column:
-    return F.replace(F.translate(text, _ACCENTED, _PLAIN), F.lit("ß"), F.lit("ss"))
-
-
 def normalize_match(text: Column) -> Column:
     """Lower case; whatever is none of a-z 0-9 + # . parts words."""
     low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -96,7 +92,6 @@ def sections(text: Column, headings: tuple[str, ...]) -> Column:
 
 
 def contains_any(text: Column, needles) -> Column:
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | text.contains(needle)
-    return hit
+    """Whether any needle occurs; the text is worked out once a row, however many needles there are. An empty needle occurs nowhere; null for a null text."""
+    own = [n for n in needles if n]
+    return F.exists(F.array(text), lambda t: reduce(Column.__or__, [t.contains(n) for n in own], F.lit(False)))

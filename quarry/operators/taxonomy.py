@@ -50,12 +50,13 @@ class Taxonomy:
     def hits(self, text: Column, kind: str, fuzzy: bool = True) -> Column:
         """Keys of the concepts of which an alias occurs in the normalized text, in the taxonomy's order.
 
-        An alias is a substring; one of eight characters or more may also nearly occur.
+        An alias is a substring; one of eight characters or more may also nearly occur. An alias of which normalizing
+        leaves nothing occurs nowhere.
         """
         own = self.of_kind(kind)
-        normal = {a: _normalized(a) for c in own for a in c.aliases}
+        normal = {a: n for c in own for a in c.aliases if (n := _normalized(a))}
         near = fuzzy_aliases(text, sorted(set(normal.values()))) if fuzzy else F.array().cast("array<string>")
-        held = F.transform(F.array(F.struct(text.alias("t"), near.alias("n"))), lambda x: F.filter(F.array(*[F.when(_any(x, [normal[a] for a in c.aliases], fuzzy), F.lit(c.key)) for c in own]), lambda k: k.isNotNull()))
+        held = F.transform(F.array(F.struct(text.alias("t"), near.alias("n"))), lambda x: F.filter(F.array(*[F.when(_any(x, [normal[a] for a in c.aliases if a in normal], fuzzy), F.lit(c.key)) for c in own]), lambda k: k.isNotNull()))
         return F.coalesce(held[0], F.array().cast("array<string>"))
 
 
@@ -63,7 +64,7 @@ def _any(x: Column, aliases: list[str], fuzzy: bool) -> Column:
     hit = F.lit(False)
     for a in aliases:
         hit = hit | x["t"].contains(a)
-    return hit | F.arrays_overlap(x["n"], F.lit(aliases)) if fuzzy else hit
+    return hit | F.arrays_overlap(x["n"], F.lit(aliases)) if fuzzy and aliases else hit
 
 
 def _normalized(alias: str) -> str:
