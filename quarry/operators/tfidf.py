@@ -1,14 +1,29 @@
-"""TF-IDF vectors kept sparse: one row for each document and term."""
+"""TF-IDF vectors, kept sparse.
+
+Words are found by Unicode's rules after decomposition (NFKD) has parted letters and marks, for which Spark has no
+function; so texts are read in Arrow batches. A task adds up its own term counts before they are shuffled, the vocabulary
+is bounded by max_features, and with it at hand each document's vector is made within its row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_accents
+from .retrieve import sparse_top_k
 
 MAX_FEATURES = 4096
+#: The most terms a vocabulary may have: it is held by the driver and each worker.
+MOST_FEATURES = 1 << 20
+#: Terms that a task adds up before it sends its counts on.
+HELD_TERMS = 1 << 20
 #: The English stop list of the usual text analyzer.
 STOP_WORDS = """
 a about above across after afterwards again against all almost alone along already also although always am
@@ -32,48 +47,109 @@ with within without would yet you your yours yourself yourselves
 """.split()
 
 
-def tokens(text: Column) -> Column:
-    """Words of two characters at least, without stop words, then pairs of neighbours among them."""
-    words = F.filter(F.regexp_extract_all(strip_accents(F.lower(text)), F.lit("[a-z0-9_]{2,}"), 0), lambda w: ~w.isin(STOP_WORDS))
-    held = F.transform(F.array(words), lambda w: F.concat(w, F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, i: F.concat(w[i], F.lit(" "), b))))
-    return held[0]
-
-
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def vocabulary(counts: DataFrame, n_docs: int, max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """term, df, tf, idf of the most frequent terms; ties go to the term that sorts first."""
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    if max_features is not None:
-        terms = terms.orderBy(F.desc("tf"), "term").limit(max_features)
-    return terms.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (1.0 + F.col("df"))) + 1.0)
-
-
-def weighted(counts: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """key, term, w: unit vectors; terms outside the vocabulary are dropped."""
-    rows = counts.join(vocab.select("term", "idf"), "term").withColumn("w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
-    length = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return rows.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("w"))
-
-
-def fit(docs: DataFrame, key: str, text: str = "text", max_features: int | None = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
-    """Term counts and vocabulary."""
-    counts = term_counts(docs, key, text)
-    return counts, vocabulary(counts, docs.count(), max_features)
-
-
-def similarities(queries: DataFrame, query_key: str, counts: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """query_key, key, score: cosines that are not zero; the join is by term, and only terms of queries travel."""
-    asked = weighted(term_counts(queries, query_key), query_key, vocab).withColumnRenamed("w", "qw")
-    own = weighted(counts, key, vocab)
-    wanted = asked.select("term").distinct()
-    hits = own.join(wanted, "term", "left_semi").join(asked, "term")
-    return hits.groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
-
-
-def top_k(scores: DataFrame, by: str, key: str, k: int, score: str = "score") -> DataFrame:
-    """The k best of each group, with their rank; equal scores in the order of the key."""
-    order = W.partitionBy(by).orderBy(F.desc(score), key)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+_STOPS = frozenset(STOP_WORDS)
+_words = re.compile(r"\w\w+").findall
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-cased words of two characters at least without their accents, stop words left out."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return [w for w in _words(text) if w not in _STOPS]
+
+
+def terms(text: str | None) -> list[str]:
+    """The words, then the pairs of neighbours among them."""
+    own = words(text)
+    return own + [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
+
+
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, tf; the row of a null term has the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, tf, n = Counter(), Counter(), 0
+
+        def held() -> Iterator[pa.RecordBatch]:
+            names = list(tf)
+            for at in range(0, len(names), 1 << 16):
+                part = names[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([df[t] for t in part], pa.int64()), pa.array([tf[t] for t in part], pa.int64())], ["term", "df", "tf"])
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found = Counter(terms(value))
+                tf.update(found)
+                df.update(found.keys())
+                n += 1
+                if len(tf) > HELD_TERMS:
+                    yield from held()
+                    df.clear()
+                    tf.clear()
+        yield from held()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n], pa.int64()), pa.array([0], pa.int64())], ["term", "df", "tf"])
+
+    return docs.select(text).mapInArrow(run, "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+class TfidfModel:
+    """A fitted vocabulary: terms in order, their document and term frequencies, and the inverse document frequencies."""
+
+    name = "tfidf-word-1-2"
+
+    def __init__(self, terms: list[str], df: list[int], tf: list[int], n_docs: int):
+        if len(terms) > MOST_FEATURES:
+            raise ValueError(f"a vocabulary has {MOST_FEATURES} terms at most")
+        self.terms, self.df, self.tf, self.n_docs = terms, df, tf, n_docs
+        self.idf = np.log((1.0 + n_docs) / (1.0 + np.array(df, np.float64))) + 1.0
+
+    @classmethod
+    def fit(cls, docs: DataFrame, text: str = "text", max_features: int = MAX_FEATURES) -> TfidfModel:
+        """The most frequent terms of the texts; of equally frequent ones those that sort first. No documents raise."""
+        if not 0 < max_features <= MOST_FEATURES:
+            raise ValueError(f"max_features must be 1 to {MOST_FEATURES}")
+        rows = term_counts(docs, text).orderBy(F.col("term").isNull().desc(), F.desc("tf"), "term").limit(max_features + 1).collect()
+        if not rows or not rows[0]["df"]:
+            raise ValueError("cannot fit a vocabulary on no documents")
+        own = sorted(rows[1:], key=lambda r: r["term"])
+        return cls([r["term"] for r in own], [r["df"] for r in own], [r["tf"] for r in own], rows[0]["df"])
+
+    def vocabulary(self, spark: SparkSession) -> DataFrame:
+        """term, idx, df, tf, idf."""
+        rows = [(t, i, d, f, float(x)) for i, (t, d, f, x) in enumerate(zip(self.terms, self.df, self.tf, self.idf, strict=True))]
+        return spark.createDataFrame(rows, "term string, idx int, df long, tf long, idf double")
+
+    def embed(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """key, indices, weights: unit vectors; terms outside the vocabulary are dropped, a text without any has no entries."""
+        held = docs.sparkSession.sparkContext.broadcast((self.terms, self.idf))  # bounded by MOST_FEATURES
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, idf = held.value
+            place = {t: i for i, t in enumerate(names)}
+            for batch in batches:
+                indices, weights = [], []
+                for value in batch.column(1).to_pylist():
+                    found = Counter(map(place.get, terms(value)))
+                    found.pop(None, None)
+                    at = np.array(sorted(found), np.int32)
+                    w = (1.0 + np.log(np.array([found[i] for i in at.tolist()], np.float64))) * idf[at]
+                    indices.append(at)
+                    weights.append(w / np.sqrt((w * w).sum()) if at.size else w)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(indices, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], [key, "indices", "weights"])
+
+        kind = docs.schema[key].dataType.simpleString()
+        return docs.select(key, text).mapInArrow(run, f"{key} {kind}, indices array<int>, weights array<double>")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the vocabulary, over one that is there."""
+        self.vocabulary(spark).withColumn("n_docs", F.lit(self.n_docs)).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TfidfModel:
+        rows = spark.read.parquet(path).orderBy("idx").limit(MOST_FEATURES + 1).collect()
+        return cls([r["term"] for r in rows], [r["df"] for r in rows], [r["tf"] for r in rows], rows[0]["n_docs"] if rows else 0)
+
+    def search(self, queries: DataFrame, query_key: str, docs: DataFrame, key: str, k: int, text: str = "text") -> DataFrame:
+        """query_key, key, score, rank: the k documents of largest cosine for each query; those that share no term score 0 and fill up."""
+        return sparse_top_k(self.embed(queries, query_key, text), self.embed(docs, key, text), query_key, key, k)
