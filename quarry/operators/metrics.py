@@ -2,58 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RELEVANT, STRONG = 2, 3
+#: The names of graded labels.
+LABEL_NAMES = {0: "not_suitable", 1: "weak_fit", 2: "moderate_fit", 3: "strong_fit"}
 
 
-def _gain(label):
+METRICS = ("precision", "recall", "strong_rate", "ndcg", "reciprocal_rank", "average_precision")
+#: Ranks that one task adds up; sums over longer rankings are put together from such stretches.
+STRETCH = 1 << 16
+
+
+def _gain(label: Column) -> Column:
     return F.pow(F.lit(2.0), label) - 1.0
 
 
-def evaluate(rankings: DataFrame, labels: DataFrame, by: str, key: str, ks: list[int], relevant: int = RELEVANT, strong: int = STRONG) -> DataFrame:
+def _ideal(labels: DataFrame, by: list[str], ks: list[int], relevant: int) -> DataFrame:
+    """by, relevant, ideal: the relevant labels of a group, and the best DCG that its labels allow at each k.
+
+    In the ideal order equal labels stand together, so the counts of each label say it all.
+    """
+    counts = labels.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    placed = counts.withColumn("end", F.sum("n").over(W.partitionBy(*by).orderBy(F.desc("label"))))
+    first = F.col("end") - F.col("n") + 1
+    discounts = lambda k: F.aggregate(F.sequence(first, F.least(F.col("end"), F.lit(k))), F.lit(0.0), lambda s, n: s + 1.0 / F.log2(n + 1.0))
+    at_k = [F.sum(F.when(first <= k, _gain(F.col("label")) * discounts(k)).otherwise(0.0)) for k in ks]
+    return placed.groupBy(*by).agg(F.sum(F.when(F.col("label") >= relevant, F.col("n")).otherwise(0)).alias("relevant"), F.array(*at_k).alias("ideal"))
+
+
+def _seen(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Adds seen, the relevant rows up to each rank, stretch by stretch."""
+    rows = rows.withColumn("_part", F.floor((F.col("rank") - 1) / STRETCH))
+    sums = rows.groupBy(*by, "_part").agg(F.sum("rel").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("rel").over(W.partitionBy(*by, "_part").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_in", within).join(sums.select(*by, "_part", ahead.alias("_ahead")), [*by, "_part"]).withColumn("seen", F.col("_ahead") + F.col("_in"))
+
+
+def evaluate(rankings: DataFrame, labels: DataFrame, by: str | list[str], key: str, ks: list[int], relevant: int = RELEVANT, strong: int = STRONG) -> DataFrame:
     """by, k, precision, recall, strong_rate, ndcg, reciprocal_rank, average_precision.
 
     rankings: by, key, rank from 1; labels: by, key, label. Recall, the ideal ranking and average precision count all
     labels of the group; precision counts the ranked prefix. Nothing relevant gives 0.
     """
-    ks = sorted(set(ks))
+    ks, by = sorted(set(ks)), [by] if isinstance(by, str) else list(by)
     if not ks or ks[0] <= 0:
         raise ValueError("ks must be positive")
-    rel = (F.col("label") >= relevant).cast("int")
-    ideal = labels.withColumn("n", F.row_number().over(W.partitionBy(by).orderBy(F.desc("label"), key)))
-    at_k = lambda n, x: [F.sum(F.when(F.col(n) <= k, x)).alias(f"_{k}") for k in ks]
-    totals = ideal.groupBy(by).agg(F.sum(rel).alias("relevant"), F.array(*[c for c in at_k("n", _gain(F.col("label")) / F.log2(F.col("n") + 1.0))]).alias("ideal"))
-    rows = rankings.join(labels, [by, key]).withColumn("rel", rel)
-    rows = rows.withColumn("seen", F.sum("rel").over(W.partitionBy(by).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
-    one = lambda x: F.array(*at_k("rank", x))
-    made = rows.groupBy(by).agg(
-        one(F.lit(1)).alias("n"), one(F.col("rel")).alias("hits"), one((F.col("label") == strong).cast("int")).alias("strong"), one(_gain(F.col("label")) / F.log2(F.col("rank") + 1.0)).alias("dcg"),
+    labels = labels.select(*by, key, "label")
+    rows = _seen(rankings.select(*by, key, "rank").join(labels, [*by, key]).withColumn("rel", (F.col("label") >= relevant).cast("int")), by)
+    at_k = lambda x: F.array(*[F.sum(F.when(F.col("rank") <= k, x)) for k in ks])
+    made = rows.groupBy(*by).agg(
+        at_k(F.lit(1)).alias("n"), at_k(F.col("rel")).alias("hits"), at_k((F.col("label") == strong).cast("int")).alias("strong"), at_k(_gain(F.col("label")) / F.log2(F.col("rank") + 1.0)).alias("dcg"),
         F.coalesce(1.0 / F.min(F.when(F.col("rel") == 1, F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"), F.sum(F.when(F.col("rel") == 1, F.col("seen") / F.col("rank")).otherwise(0.0)).alias("ap"),
     )
-    each = made.join(totals, by).select("*", F.posexplode(F.lit(ks)).alias("i", "k"))
+    each = made.join(_ideal(labels, by, ks, relevant), by).select("*", F.posexplode(F.lit(ks)).alias("i", "k"))
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     return each.select(
-        by, "k", ratio(F.col("hits")[F.col("i")], F.col("n")[F.col("i")]).alias("precision"), ratio(F.col("hits")[F.col("i")], F.col("relevant")).alias("recall"),
+        *by, "k", ratio(F.col("hits")[F.col("i")], F.col("n")[F.col("i")]).alias("precision"), ratio(F.col("hits")[F.col("i")], F.col("relevant")).alias("recall"),
         ratio(F.col("strong")[F.col("i")], F.col("n")[F.col("i")]).alias("strong_rate"), ratio(F.col("dcg")[F.col("i")], F.col("ideal")[F.col("i")]).alias("ndcg"),
         "reciprocal_rank", ratio(F.col("ap"), F.col("relevant")).alias("average_precision"),
     )
 
 
+def rounded(rows: DataFrame, columns: tuple[str, ...] = METRICS, digits: int = 6) -> DataFrame:
+    """Metrics as they are exported."""
+    return rows.withColumns({c: F.round(c, digits) for c in columns if c in rows.columns})
+
+
 def invalid(rankings: DataFrame, labels: DataFrame, by: str, key: str) -> DataFrame:
     """by, key, rule: repeated ids of a ranking, ids without a label, labels outside 0 to 3."""
     said = lambda df, rule: df.select(by, key, F.lit(rule).alias("rule"))
     return said(rankings.groupBy(by, key).count().where("count > 1"), "duplicate").unionByName(said(rankings.join(labels, [by, key], "left_anti"), "missing from benchmark")).unionByName(said(labels.where("label < 0 OR label > 3"), "label out of range"))
 
 
-def random_baseline(spark: SparkSession, labels: DataFrame, by: str, key: str, ks: list[int], trials: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean metrics of shuffled rankings; each trial is a group of its own."""
-    runs = labels.join(F.broadcast(spark.range(trials).withColumnRenamed("id", "trial")), F.lit(True)).withColumn("run", F.concat_ws(":", by, "trial"))
-    ranked = runs.withColumn("rank", F.row_number().over(W.partitionBy("run").orderBy(F.xxhash64("trial", key, F.lit(seed)))))
-    each = evaluate(ranked.select("run", key, "rank"), runs.select("run", key, "label"), "run", key, ks)
-    return each.groupBy(F.substring_index("run", ":", 1).alias(by), "k").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "strong_rate", "ndcg", "reciprocal_rank", "average_precision")])
+def random_baseline(labels: DataFrame, by: str, key: str, ks: list[int], trials: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean metrics of shuffled rankings; each trial of each group is a ranking of its own.
+
+    A shuffle is the order of hashes, which are even over their range: rows of a group part into stretches of that range,
+    and a rank is the place within the stretch after the rows of the stretches before.
+    """
+    runs = labels.select(F.col(by), F.col(key), F.col("label")).withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    drawn = runs.withColumn("_draw", F.xxhash64("_trial", key, F.lit(seed))).withColumn("_stretch", F.shiftright("_draw", 56))
+    sums = drawn.groupBy(by, "_trial", "_stretch").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy(by, "_trial").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy(by, "_trial", "_stretch").orderBy("_draw", key))
+    ranked = drawn.withColumn("_in", within).join(sums.select(by, "_trial", "_stretch", ahead.alias("_ahead")), [by, "_trial", "_stretch"]).withColumn("rank", F.col("_ahead") + F.col("_in"))
+    each = evaluate(ranked, runs, [by, "_trial"], key, ks)
+    return each.groupBy(by, "k").agg(*[F.avg(c).alias(c) for c in METRICS])
 
 
 def compare(rankings: DataFrame, labels: DataFrame, key: str, experiments: list[str]) -> DataFrame:
@@ -68,6 +106,14 @@ def label_counts(labels: DataFrame, column: str = "label", domain: tuple = (0, 1
     return names.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def benchmark_summary(labels: DataFrame) -> DataFrame:
+    """what (candidates, label, review_status), value, n: the size of a benchmark and its rows by label name and by review status; labels without rows count 0."""
+    names = labels.sparkSession.createDataFrame(list(LABEL_NAMES.items()), "label int, value string")
+    by_label = label_counts(labels.select(F.col("relevance_label").alias("label"))).join(F.broadcast(names), "label").select(F.lit("label").alias("what"), "value", "n")
+    by_status = labels.groupBy(F.col("review_status").alias("value")).agg(F.count("*").alias("n")).select(F.lit("review_status").alias("what"), "value", "n")
+    return labels.agg(F.count("*").alias("n")).select(F.lit("candidates").alias("what"), F.lit(None).cast("string").alias("value"), "n").unionByName(by_label).unionByName(by_status)
+
+
 def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, side: keys of one table that the other lacks."""
     a, b = left.select(key).distinct(), right.select(key).distinct()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +59,3 @@ def violations(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFram
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-
-
-def record_json(row: dict) -> str:
-    return json.dumps(row, ensure_ascii=False)
