@@ -53,10 +53,9 @@ def best_evidence(catalog: DataFrame, taxonomy: Taxonomy, fuzzy: bool = True) ->
     """candidate_id, kind, key, item: for each concept met, the record of the preferred section, the first of equals."""
     text = normalize_match(F.col("text"))
     keys = F.concat(*[_keyed(taxonomy.hits(text, kind, fuzzy), kind) for kind in KINDS])
-    priority = F.coalesce(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])[F.col("section")], F.lit(99))
     rows = catalog.withColumn("k", F.explode(keys))
     item = F.struct("evidence_id", F.col("text").alias("evidence"), F.col("section").alias("source_section"))
-    return rows.groupBy("candidate_id", "k.kind", "k.key").agg(F.min_by(item, F.struct(priority, F.col("ord"))).alias("item"))
+    return rows.groupBy("candidate_id", "k.kind", "k.key").agg(preferred_item(item, F.col("section"), F.col("ord")).alias("item"))
 
 
 def education(candidates: DataFrame, catalog: DataFrame, taxonomy: Taxonomy) -> DataFrame:
@@ -70,6 +69,20 @@ def education(candidates: DataFrame, catalog: DataFrame, taxonomy: Taxonomy) ->
     return best.select("candidate_id", "points", said.alias("label")).join(items, "candidate_id", "left")
 
 
+def coverage(hit: Column, weight: Column | float = 1.0, where: Column | None = None, absent: float | None = None) -> Column:
+    """Aggregate: the share of weight that is met, 0 to 100, among the rows of the condition; `absent` if there are none."""
+    of = (lambda x: F.when(where, x)) if where is not None else (lambda x: x)
+    own = weight if isinstance(weight, Column) else F.lit(weight)
+    share = 100.0 * F.sum(of(F.when(hit, own).otherwise(0.0))) / F.sum(of(own))
+    return share if absent is None else F.coalesce(share, F.lit(absent))
+
+
+def preferred_item(item: Column, section: Column, order: Column, priority: dict[str, int] = PRIORITY) -> Column:
+    """Aggregate: the item of the section that comes first by priority (unknown ones last), of equals the first by order."""
+    rank = F.coalesce(F.create_map(*[F.lit(x) for p in priority.items() for x in p])[section], F.lit(99))
+    return F.min_by(item, F.struct(rank, order))
+
+
 def score_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, taxonomy: Taxonomy, weights: Weights | None = None, fuzzy: bool = True) -> DataFrame:
     """Components, final score, matched, missing and evidence of each pair (job_id, candidate_id, retrieval_score, retrieval_rank).
 
@@ -84,12 +97,10 @@ def score_pairs(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, taxono
     met = asked.join(best_evidence(catalog, taxonomy, fuzzy), ["candidate_id", "kind", "key"], "left").join(owns, ["candidate_id", "kind", "key"], "left")
     met = met.withColumn("hit", F.when(F.col("kind") == "software", F.coalesce("owned", F.lit(False))).otherwise(F.col("item").isNotNull()))
     place = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])[F.col("kind")]
-    of = lambda kind, x: F.when(F.col("kind") == kind, x)
-    points = lambda kind: 100.0 * F.avg(of(kind, F.col("hit").cast("double")))
+    covered_of = lambda kind, weight=1.0: coverage(F.col("hit"), weight, F.col("kind") == kind)
     listed = F.struct(place.alias("place"), "seq", "label")
     covered = met.groupBy("job_id", "candidate_id").agg(
-        (100.0 * F.sum(of("concept", F.when(F.col("hit"), F.col("weight")).otherwise(0.0))) / F.sum(of("concept", F.col("weight")))).alias("concept"),
-        points("software").alias("software"), points("preferred").alias("preferred"),
+        covered_of("concept", F.col("weight")).alias("concept"), covered_of("software").alias("software"), covered_of("preferred").alias("preferred"),
         F.collect_list(F.when(F.col("hit") & (F.col("kind") != "preferred"), listed)).alias("matched"),
         F.collect_list(F.when(~F.col("hit") & (F.col("kind") != "preferred"), listed)).alias("missing"),
         F.collect_list(F.when(F.col("hit") & F.col("item").isNotNull(), F.struct(place.alias("place"), "seq", "item.evidence_id", F.col("label").alias("requirement"), "item.evidence", "item.source_section"))).alias("evidence"),

@@ -11,6 +11,8 @@ from ..functions.text import BULLET, bullets, clean_extracted, collapse, found,
 RESUME = ("PROFESSIONAL SUMMARY", "TECHNICAL SKILLS", "SOFTWARE PROFICIENCY", "PROFESSIONAL EXPERIENCE", "EDUCATION", "CERTIFICATIONS", "ACHIEVEMENTS", "REFERENCES")
 JOB = ("JOB DESCRIPTION", "RESPONSIBILITIES", "REQUIRED SKILLS", "PREFERRED QUALIFICATIONS", "TECHNICAL SKILLS", "SOFT SKILLS", "BENEFITS", "ABOUT TECHFLOW SOLUTIONS", "APPLICATION PROCESS")
 REQUIRED_KINDS = ["education", "dropped", "certification", "excel", "accounting_software", "skill"]
+#: What required software and certificates are called, and a posting without a title.
+EXCEL, ACCOUNTING_SOFTWARE, CERTIFICATE, UNTITLED = "Microsoft Excel", "Accounting software (QuickBooks, SAP, Oracle, or similar)", "CPA", "Untitled Position"
 
 
 def candidate_id(source_file: Column) -> Column:
@@ -100,14 +102,14 @@ def job_postings(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("items", F.transform(of("REQUIRED SKILLS"), lambda x: F.struct(required_kind(x).alias("kind"), x.alias("x"))))
     kind = lambda *names: F.filter("items", lambda i: i["kind"].isin(*names))
     plain = lambda items: F.transform(items, lambda i: i["x"])
-    first = F.coalesce(F.get(lines(F.col("pre")), F.lit(0)), F.lit("Untitled Position"))
-    software = F.transform(kind("excel", "accounting_software"), lambda i: F.when(i["kind"] == "excel", "Microsoft Excel").otherwise("Accounting software (QuickBooks, SAP, Oracle, or similar)"))
+    first = F.coalesce(F.get(lines(F.col("pre")), F.lit(0)), F.lit(UNTITLED))
+    software = F.transform(kind("excel", "accounting_software"), lambda i: F.when(i["kind"] == "excel", EXCEL).otherwise(ACCOUNTING_SOFTWARE))
     span = r"(?i)Experience Required:\s*(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*years"
     between = lambda a, b: found(F.col("pre"), rf"(?is){a}:\s*(.*?)\s+{b}:")
     return rows.select(
         "job_id", "source_file", title_case(F.replace(first, F.lit(" POSITION"), F.lit(""))).alias("title"), between("Company", "Location").alias("company"), between("Location", r"Employment\s+Type").alias("location"),
         between(r"Employment\s+Type", "Salary Range").alias("employment_type"), found(F.col("pre"), span, 1).cast("double").alias("experience_min_years"), found(F.col("pre"), span, 2).cast("double").alias("experience_max_years"),
         of("RESPONSIBILITIES").alias("responsibilities"), plain(kind("skill")).alias("required_skills"), software.alias("required_software"), of("TECHNICAL SKILLS").alias("preferred_skills"),
-        of("PREFERRED QUALIFICATIONS").alias("preferred_qualifications"), plain(kind("education")).alias("education_requirements"), F.transform(kind("certification"), lambda i: F.lit("CPA")).alias("preferred_certifications"),
+        of("PREFERRED QUALIFICATIONS").alias("preferred_qualifications"), plain(kind("education")).alias("education_requirements"), F.transform(kind("certification"), lambda i: F.lit(CERTIFICATE)).alias("preferred_certifications"),
         of("SOFT SKILLS").alias("soft_skills"), "raw_text",
     )
