@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, scoring, text, vectors
 from ..functions.fuzzy import fuzzy_aliases
+from ..operators import documents, match, metrics, parse, retrieve, schemas, tfidf
 from ..operators import explain as explained
-from ..operators import metrics, retrieve, tfidf
-from ..operators.documents import evidence_id
-from ..operators.parse import required_kind
-from ..operators.schemas import violations
-from ..streaming.sync import difference
+from ..operators.taxonomy import Taxonomy
+from ..sources import io
+from ..streaming import sync as syncing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,7 +46,7 @@ _TITLE = f"([{', '.join(repr(t) for t in TITLES)}])[(p_partkey % {len(TITLES)}):
 _NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^a-z0-9+#.]+', ' ', 'g'))"
 _GRADE = "SELECT d.lang, l.doc_id, 2 * l.quality + (1 - l.toxic) AS label, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS rank FROM labels l JOIN documents d USING (doc_id)"
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
-_COS = f"round({_DOT.format('c.embedding', 'q.embedding')} / sqrt({_DOT.format('c.embedding', 'c.embedding')}) / sqrt({_DOT.format('q.embedding', 'q.embedding')}), 6)"
+_COS = f"round({_DOT.format('c.embedding', 'q.embedding')} / sqrt({_DOT.format('c.embedding', 'c.embedding')}) / sqrt({_DOT.format('q.embedding', 'q.embedding')}), {retrieve.DIGITS})"
 
 
 # Vectors
@@ -65,12 +64,12 @@ def vec_l2_normalize(spark, sf):
 def _neighbours(spark, sf, k):
     corpus = _t(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieve.exact_top_k(asked, corpus, "query_id", "vec_id", "embedding", k).withColumn("rank", F.col("rank").cast("long"))
+    return retrieve.exact_top_k(asked, corpus, "query_id", "vec_id", "embedding", k).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _VEC = """
 SELECT * FROM (
-  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
   FROM (SELECT q.vec_id AS query_id, c.vec_id, {cos} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0))
 WHERE rank <= {k}"""
 
@@ -89,7 +88,7 @@ def vec_join_topk_per_query(spark, sf):
 
 _STOPS = ", ".join(f"'{w}'" for w in tfidf.STOP_WORDS)
 _TOKENS = f"""
-w AS (SELECT kind, id, list_filter(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({_STOPS})) AS w FROM t),
+w AS (SELECT kind, id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOPS})) AS w FROM t),
 g AS (SELECT kind, id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
 tf AS (SELECT kind, id, term, count(*) AS tf FROM g GROUP BY ALL),
 vocab AS (
@@ -100,19 +99,85 @@ _CORPUS = "WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNIO
 
 @query(f"{_CORPUS}{_TOKENS} SELECT term, df, tf, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocab_idf(spark, sf):
-    _, vocab = tfidf.fit(_t(spark, sf, "documents"), "doc_id")
-    return vocab.select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    return tfidf.TfidfModel.fit(_t(spark, sf, "documents")).vocabulary(spark).select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""{_CORPUS}{_TOKENS},
 v AS (SELECT kind, id, term, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term)),
 u AS (SELECT kind, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS w FROM v),
-s AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score FROM u q JOIN u d ON q.term = d.term AND q.kind = 'q' AND d.kind = 'd' GROUP BY ALL)
-SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+s AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.w * d.w), {retrieve.DIGITS}) AS score FROM u q JOIN u d ON q.term = d.term AND q.kind = 'q' AND d.kind = 'd' GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def tfidf_topk(spark, sf):
-    counts, vocab = tfidf.fit(_t(spark, sf, "documents"), "doc_id")
-    scores = tfidf.similarities(_t(spark, sf, "benchmark"), "item_id", counts, "doc_id", vocab)
-    return tfidf.top_k(scores.withColumn("score", F.round("score", 6)), "item_id", "doc_id", 10).withColumn("rank", F.col("rank").cast("long"))
+    docs = _t(spark, sf, "documents")
+    hits = tfidf.TfidfModel.fit(docs).search(_t(spark, sf, "benchmark"), "item_id", docs, "doc_id", 10)
+    return hits.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# Candidates and jobs made from the tables
+
+
+def _pick(values: list, index: Column) -> Column:
+    return F.get(F.lit(values), index.cast("int"))
+
+
+def _picked(values: list, index: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[({index})::INT + 1]"
+
+
+#: What jobs ask for, picked by key, and the concepts that it is about.
+TASKS, SKILLS, SOFTWARE, WISHES = ["handle gears", "hot plate work", "nothing special", "rod and ring"], ["gizmo", "anvil", "cold"], ["Brand#1", "Brand#2", ""], ["small things", "new or promo", ""]
+CONCEPTS = {
+    "concepts": {"gears": {"label": "Gears", "weight": 1.5, "aliases": ["gear", "gizmo"]}, "rods": {"label": "Rods", "weight": 1.0, "aliases": ["rod", "Ring"]}, "heat": {"label": "Heat", "weight": 0.5, "aliases": ["hot", "cold"]}, "metal": {"weight": 1.2, "aliases": ["plate", "anvil", "日本"]}},
+    "software_groups": {"ones": {"label": "Ones", "aliases": ["brand#1"]}, "twos": {"label": "Twos", "aliases": ["brand#2"]}},
+    "preferred_criteria": {"fresh": {"label": "Fresh", "aliases": ["new", "promo"]}, "small": {"label": "Small", "aliases": ["small"]}},
+    "education_fields": {"strong": ["economy", "medium"], "related": ["small"]},
+}
+
+
+def _people(spark, sf):
+    """A candidate of each part."""
+    none, own = F.array().cast("array<string>"), F.col
+    some = lambda condition, array, kind: F.when(condition, array).otherwise(F.array().cast(kind))
+    post = F.array(F.struct(own("p_type").alias("job_title"), own("p_brand").alias("company"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("end_date"), F.lit(None).cast("double").alias("duration_years"), F.array("p_name", "p_type").alias("responsibilities"), F.array("p_brand").alias("achievements")))
+    degree = F.array(F.struct(F.lit("BSc").alias("degree"), own("p_type").alias("field_of_study"), F.lit(None).cast("string").alias("institution"), F.lit(None).cast("int").alias("graduation_year")))
+    certificate = F.array(F.struct(F.lit("CPA").alias("name"), F.lit(None).cast("string").alias("issuer"), F.lit(None).cast("int").alias("year")))
+    kinds = {f.name: f.dataType.simpleString() for f in schemas.struct(schemas.CANDIDATE)}
+    made = {
+        "candidate_id": F.concat(F.lit("p"), "p_partkey"), "source_file": F.lit("part"), "full_name": F.col("p_name"), "headline": F.nullif(_title("p_partkey"), F.lit("")), "location": F.lit(None).cast("string"),
+        "contact": F.lit(None).cast(kinds["contact"]), "professional_summary": F.when(own("p_size") > 10, own("p_type")), "skills": F.split("p_name", " "), "software": some(own("p_size") % 2 == 0, F.array("p_brand"), "array<string>"),
+        "work_experience": some(own("p_size") > 25, post, kinds["work_experience"]), "total_experience_years": own("p_size").cast("double"), "education": some(own("p_size") % 3 == 0, degree, kinds["education"]),
+        "certifications": some(own("p_size") % 5 == 0, certificate, kinds["certifications"]), "achievements": none, "raw_text": F.lit(""), "parser_version": F.lit("1"),
+    }
+    return _t(spark, sf, "part").select(*[v.alias(k) for k, v in made.items()])
+
+
+def _jobs(spark, sf):
+    """A job of each nation."""
+    n = F.col("n_nationkey")
+    none = F.array().cast("array<string>")
+    named = lambda x: F.when(x != "", F.array(x)).otherwise(none)
+    made = {
+        "job_id": F.concat(F.lit("n"), n), "source_file": F.lit("nation"), "title": F.lit("Senior Accountant"), "company": F.lit(None).cast("string"), "location": F.lit(None).cast("string"), "employment_type": F.lit(None).cast("string"),
+        "experience_min_years": (F.col("n_regionkey") * 5).cast("double"), "experience_max_years": F.when(n % 4 != 0, (F.col("n_regionkey") * 5 + 10).cast("double")),
+        "responsibilities": F.array(_pick(TASKS, n % 4)), "required_skills": F.array(_pick(SKILLS, n % 3)), "required_software": named(_pick(SOFTWARE, n % 3)), "preferred_skills": named(_pick(WISHES, (n + 1) % 3)),
+        "preferred_qualifications": none, "education_requirements": F.when(n % 2 == 0, F.array(F.lit("Bachelor"))).otherwise(none), "preferred_certifications": none, "soft_skills": none, "raw_text": F.lit(""),
+    }
+    return _t(spark, sf, "nation").select(*[v.alias(k) for k, v in made.items()])
+
+
+_HEADLINE = f"nullif({_TITLE}, '')"
+_PIECES = f"""
+SELECT 'p' || p_partkey AS candidate_id, p_partkey, {_HEADLINE} AS headline, p_size, p_type,
+  CASE WHEN {_HEADLINE} IS NOT NULL THEN 'Role: ' || {_HEADLINE} END AS role, CASE WHEN p_size > 10 THEN 'Professional Summary: ' || p_type END AS summary, 'Skills: ' || replace(p_name, ' ', ', ') AS skills,
+  CASE WHEN p_size % 2 = 0 THEN 'Software: ' || p_brand END AS software, CASE WHEN p_size > 25 THEN p_type || ' at ' || p_brand || '. ' || p_name || ' ' || p_type END AS post,
+  CASE WHEN p_size % 3 = 0 THEN 'Education: BSc in ' || p_type END AS degree, CASE WHEN p_size % 5 = 0 THEN 'Certifications: CPA' END AS certificate, p_brand FROM part"""
+_CATALOG = f"""
+SELECT candidate_id, p_partkey, unnest(range(len(l))) AS ord, unnest(l).section AS section, unnest(l).text AS text FROM (
+  SELECT 'p' || p_partkey AS candidate_id, p_partkey, list_filter([{{'section': 'headline', 'text': {_HEADLINE}}}, {{'section': 'professional_summary', 'text': CASE WHEN p_size > 10 THEN p_type END}},
+    {{'section': 'technical_skills', 'text': split_part(p_name, ' ', 1)}}, {{'section': 'technical_skills', 'text': split_part(p_name, ' ', 2)}}, {{'section': 'software', 'text': CASE WHEN p_size % 2 = 0 THEN p_brand END}},
+    {{'section': 'experience', 'text': p_size || '+ years of total experience'}}, {{'section': 'work_experience', 'text': CASE WHEN p_size > 25 THEN p_type || ' at ' || p_brand END}},
+    {{'section': 'work_experience', 'text': CASE WHEN p_size > 25 THEN p_name END}}, {{'section': 'work_experience', 'text': CASE WHEN p_size > 25 THEN p_type END}}, {{'section': 'work_experience', 'text': CASE WHEN p_size > 25 THEN p_brand END}},
+    {{'section': 'education', 'text': CASE WHEN p_size % 3 = 0 THEN 'BSc in ' || p_type END}}, {{'section': 'certifications', 'text': CASE WHEN p_size % 5 = 0 THEN 'CPA' END}}], lambda x: x.text IS NOT NULL) AS l FROM part)"""
 
 
 # Retrieval, documents, evidence
@@ -128,29 +193,39 @@ def section_aggregate(spark, sf):
     return retrieve.aggregate_sections(hits, ["conv_id"]).select("conv_id", F.round("retrieval_score", 6).alias("retrieval_score"), "best_section", "n_hits")
 
 
-@query("SELECT p_partkey, 'Role: ' || p_type || chr(10) || 'Skills: ' || array_to_string(string_split(p_name, ' '), ', ') || chr(10) || 'Total Experience: ' || p_size || ' years' AS text FROM part")
+@query(f"""SELECT candidate_id, concat_ws(chr(10), role, summary, skills, software, 'Total Experience: ' || p_size || ' years', 'Experience: ' || post || '. ' || p_brand, degree, certificate) AS text FROM ({_PIECES})""")
 def match_text(spark, sf):
-    lines = F.concat_ws("\n", F.concat(F.lit("Role: "), "p_type"), arrays.joined(F.split("p_name", " "), ", ", "Skills: "), F.concat(F.lit("Total Experience: "), text.short_number(F.col("p_size").cast("double")), F.lit(" years")))
-    return _t(spark, sf, "part").select("p_partkey", lines.alias("text"))
+    return _people(spark, sf).select("candidate_id", documents.candidate_text().alias("text"))
 
 
-@query("""
-SELECT p_partkey || ':type' AS vector_id, 'type' AS section, p_type AS text FROM part WHERE p_type <> ''
-UNION ALL SELECT p_partkey || ':brand', 'brand', p_brand FROM part WHERE p_size > 25
-UNION ALL SELECT p_partkey || ':name', 'name', p_name FROM part WHERE p_retailprice >= 1200""")
+_EXPERIENCE_ASKED = "'Experience: minimum ' || 5 * n_regionkey || ' years' || CASE WHEN n_nationkey % 4 <> 0 THEN ', preferred maximum ' || (5 * n_regionkey + 10) || ' years' ELSE '' END"
+
+
+@query(f"""
+SELECT 'n' || n_nationkey AS job_id, concat_ws(chr(10), 'Job Title: Senior Accountant', {_EXPERIENCE_ASKED}, 'Responsibilities: ' || {_picked(TASKS, "n_nationkey % 4")}, 'Required Skills: ' || {_picked(SKILLS, "n_nationkey % 3")},
+  'Required Software: ' || nullif({_picked(SOFTWARE, "n_nationkey % 3")}, ''), CASE WHEN n_nationkey % 2 = 0 THEN 'Education: Bachelor' END, 'Preferred Skills: ' || nullif({_picked(WISHES, "(n_nationkey + 1) % 3")}, '')) AS text FROM nation""")
+def job_match_text(spark, sf):
+    return _jobs(spark, sf).select("job_id", documents.job_text().alias("text"))
+
+
+@query(f"""
+WITH p AS ({_PIECES})
+SELECT candidate_id || ':summary' AS vector_id, candidate_id, 'summary' AS section, concat_ws(chr(10), role, summary) AS text, headline, p_size::DOUBLE AS experience_years FROM p WHERE role IS NOT NULL OR summary IS NOT NULL
+UNION ALL SELECT candidate_id || ':skills', candidate_id, 'skills_software', concat_ws(chr(10), skills, software), headline, p_size FROM p
+UNION ALL SELECT candidate_id || ':experience', candidate_id, 'experience', post, headline, p_size FROM p WHERE post IS NOT NULL
+UNION ALL SELECT candidate_id || ':education', candidate_id, 'education_certifications', concat_ws(chr(10), degree, certificate), headline, p_size FROM p WHERE degree IS NOT NULL OR certificate IS NOT NULL""")
 def section_explode(spark, sf):
-    made = [("type", F.col("p_type")), ("brand", F.when(F.col("p_size") > 25, F.col("p_brand"))), ("name", F.when(F.col("p_retailprice") >= 1200, F.col("p_name")))]
-    parts = F.filter(F.array(*[F.struct(F.lit(s).alias("section"), t.alias("text")) for s, t in made]), lambda p: F.coalesce(p["text"], F.lit("")) != "")
-    return _t(spark, sf, "part").select("p_partkey", F.explode(parts).alias("p")).select(F.concat_ws(":", "p_partkey", "p.section").alias("vector_id"), "p.section", "p.text")
+    return documents.retrieval_documents(_people(spark, sf), "section").drop("source_file")
 
 
-@query(r"""
-SELECT conv_id, 'E' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role))::VARCHAR, 3, '0') AS evidence_id, role AS section, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text
-FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""")
+@query(f"""SELECT candidate_id || ':full' AS vector_id, candidate_id, 'full_resume' AS section, length(concat_ws(chr(10), role, summary, skills, software, 'Total Experience: ' || p_size || ' years', 'Experience: ' || post || '. ' || p_brand, degree, certificate))::INT AS n FROM ({_PIECES})""")
+def full_documents(spark, sf):
+    return documents.retrieval_documents(_people(spark, sf)).select("vector_id", "candidate_id", "section", F.length("text").alias("n"))
+
+
+@query(f"SELECT candidate_id, ord::INT AS ord, 'E' || lpad((ord + 1)::VARCHAR, 3, '0') AS evidence_id, section, text FROM ({_CATALOG})")
 def evidence_catalog(spark, sf):
-    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", text.collapse(F.col("text")).alias("text")))).alias("r"))
-    each = rows.select("conv_id", F.posexplode(F.filter("r", lambda x: x["text"] != "")).alias("ord", "r"))
-    return each.select("conv_id", evidence_id(F.col("ord")).alias("evidence_id"), F.col("r.role").alias("section"), "r.text")
+    return documents.evidence_catalog(_people(spark, sf))
 
 
 @query("SELECT p_partkey, p_name AS preamble, p_type AS summary, p_brand AS skills, CASE WHEN p_size > 25 THEN 'size ' || p_size END AS education FROM part")
@@ -205,7 +280,7 @@ SELECT p_brand, kind, count(*) AS n FROM (SELECT p_brand, CASE WHEN contains(i,
   FROM (SELECT p_brand, lower({_ITEM}) AS i FROM part)) GROUP BY ALL""")
 def classify_first_match(spark, sf):
     item = F.get(F.lit(_ITEMS), (F.col("p_partkey") % len(_ITEMS)).cast("int"))
-    return _t(spark, sf, "part").groupBy("p_brand", required_kind(item).alias("kind")).agg(F.count("*").alias("n"))
+    return _t(spark, sf, "part").groupBy("p_brand", parse.required_kind(item).alias("kind")).agg(F.count("*").alias("n"))
 
 
 _HIT = " OR ".join(f"contains({_NORM.format('text')}, '{a}')" for a in ALIASES)
@@ -229,19 +304,17 @@ def fuzzy_alias(spark, sf):
 
 @query("SELECT l_orderkey, round(100.0 * coalesce(sum(l_quantity) FILTER (l_discount > 0.05), 0) / sum(l_quantity), 6) AS score FROM lineitem GROUP BY l_orderkey")
 def weighted_coverage(spark, sf):
-    hit = F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).otherwise(0.0))
-    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(100.0 * hit / F.sum("l_quantity"), 6).alias("score"))
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(match.coverage(F.col("l_discount") > 0.05, F.col("l_quantity")), 6).alias("score"))
 
 
 @query("SELECT l_orderkey, round(100.0 * avg((l_discount > 0.05)::INT), 6) AS score FROM lineitem GROUP BY l_orderkey")
 def unweighted_coverage(spark, sf):
-    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(100.0 * F.avg((F.col("l_discount") > 0.05).cast("double")), 6).alias("score"))
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(match.coverage(F.col("l_discount") > 0.05), 6).alias("score"))
 
 
-@query("SELECT o_orderkey, round(coalesce(100.0 * avg((l_discount > 0.05)::INT) FILTER (l_quantity > 30), 50.0), 6) AS score FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("SELECT l_orderkey, round(coalesce(100.0 * avg((l_discount > 0.05)::INT) FILTER (l_quantity > 30), 50.0), 6) AS score FROM lineitem GROUP BY l_orderkey")
 def preferred_coverage(spark, sf):
-    each = _t(spark, sf, "lineitem").where("l_quantity > 30").groupBy("l_orderkey").agg((100.0 * F.avg((F.col("l_discount") > 0.05).cast("double"))).alias("score"))
-    return _t(spark, sf, "orders").select("o_orderkey").join(each, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.round(F.coalesce("score", F.lit(50.0)), 6).alias("score"))
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(match.coverage(F.col("l_discount") > 0.05, where=F.col("l_quantity") > 30, absent=50.0), 6).alias("score"))
 
 
 @query(f"""
@@ -257,8 +330,7 @@ def education_score(spark, sf):
 SELECT conv_id, (array_agg(turn ORDER BY CASE role WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 ELSE 99 END, turn))[1] AS turn,
        (array_agg(role ORDER BY CASE role WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 ELSE 99 END, turn))[1] AS role FROM conversations GROUP BY conv_id""")
 def best_evidence_argmin(spark, sf):
-    priority = F.when(F.col("role") == "assistant", 0).when(F.col("role") == "user", 1).otherwise(99)
-    best = F.min_by(F.struct("turn", "role"), F.struct(priority, F.col("turn")))
+    best = match.preferred_item(F.struct("turn", "role"), F.col("role"), F.col("turn"), {"assistant": 0, "user": 1})
     return _t(spark, sf, "conversations").groupBy("conv_id").agg(best.alias("b")).select("conv_id", "b.turn", "b.role")
 
 
@@ -323,7 +395,7 @@ def _scored(spark, sf):
 
 @query(f"SELECT * FROM (SELECT p_brand, p_partkey, final_score, row_number() OVER (PARTITION BY p_brand ORDER BY final_score DESC, p_partkey) AS rank FROM ({_SCORED})) WHERE rank <= 20")
 def hybrid_score_rank(spark, sf):
-    return tfidf.top_k(_scored(spark, sf), "p_brand", "p_partkey", 20, "final_score").select("p_brand", "p_partkey", "final_score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.top_k(_scored(spark, sf), "p_brand", "p_partkey", 20, "final_score").select("p_brand", "p_partkey", "final_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
@@ -382,19 +454,19 @@ WITH r AS ({_GRADE}) SELECT lang, k, round(sum((label >= 2 AND rank <= k)::INT)
   round(coalesce(sum((label >= 2 AND rank <= k)::INT) / nullif(sum((label >= 2)::INT), 0), 0), 6) AS recall, round(sum((label = 3 AND rank <= k)::INT) / sum((rank <= k)::INT), 6) AS strong_rate
 FROM r, {_KS} GROUP BY lang, k""")
 def precision_recall_strong_at_k(spark, sf):
-    return _evaluated(spark, sf).select("lang", "k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "strong_rate")])
+    return metrics.rounded(_evaluated(spark, sf)).select("lang", "k", "precision", "recall", "strong_rate")
 
 
 @query(f"WITH r AS ({_GRADE}) SELECT lang, round(coalesce(1.0 / min(rank) FILTER (label >= 2), 0), 6) AS reciprocal_rank FROM r GROUP BY lang")
 def reciprocal_rank(spark, sf):
-    return _evaluated(spark, sf).where("k = 5").select("lang", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return _evaluated(spark, sf).where("k = 5").transform(metrics.rounded).select("lang", "reciprocal_rank")
 
 
 @query(f"""
 WITH r AS ({_GRADE}), c AS (SELECT *, sum((label >= 2)::INT) OVER (PARTITION BY lang ORDER BY rank) AS seen FROM r)
 SELECT lang, round(coalesce(sum(seen / rank) FILTER (label >= 2) / nullif(sum((label >= 2)::INT), 0), 0), 6) AS average_precision FROM c GROUP BY lang""")
 def average_precision(spark, sf):
-    return _evaluated(spark, sf).where("k = 5").select("lang", F.round("average_precision", 6).alias("average_precision"))
+    return _evaluated(spark, sf).where("k = 5").transform(metrics.rounded).select("lang", "average_precision")
 
 
 @query(f"""
@@ -402,7 +474,7 @@ WITH r AS ({_GRADE}), i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER
 SELECT lang, k, round(coalesce(sum((2 ** label - 1) / log2(rank + 1)) FILTER (rank <= k) / nullif(sum((2 ** label - 1) / log2(n + 1)) FILTER (n <= k), 0), 0), 6) AS ndcg
 FROM i, {_KS} GROUP BY lang, k""")
 def ndcg_at_k(spark, sf):
-    return _evaluated(spark, sf).select("lang", "k", F.round("ndcg", 6).alias("ndcg"))
+    return metrics.rounded(_evaluated(spark, sf)).select("lang", "k", "ndcg")
 
 
 @query(f"SELECT l.label::INT AS label, count(r.doc_id) AS n FROM (SELECT unnest([0, 1, 2, 3]) AS label) l LEFT JOIN ({_GRADE}) r ON l.label = r.label GROUP BY 1")
@@ -428,7 +500,7 @@ def label_candidate_setdiff(spark, sf):
 @query()
 def random_baseline(spark, sf):
     _, labels = _ranked(spark, sf)
-    return metrics.random_baseline(spark, labels, "lang", "doc_id", [5, 10, 20])
+    return metrics.random_baseline(labels, "lang", "doc_id", [5, 10, 20])
 
 
 # Quality, export, index
@@ -436,7 +508,7 @@ def random_baseline(spark, sf):
 
 @query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_ids(spark, sf):
-    return _t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n")).where("n > 1")
+    return schemas.duplicates(_t(spark, sf, "documents").select(F.sha2("text", 256).alias("sha")), "sha")
 
 
 @query("""
@@ -452,11 +524,6 @@ def evidence_dedupe(spark, sf):
     return rows.select("conv_id", F.explode(arrays.first_by(F.col("r"), "role")).alias("r")).select("conv_id", "r.role", "r.turn")
 
 
-@query("SELECT c_custkey, c_name AS candidate_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS headline, array_to_string(list_sort(string_split(c_mktsegment, 'I')), ' | ') AS matched FROM customer")
-def export_flat(spark, sf):
-    return _t(spark, sf, "customer").select("c_custkey", F.coalesce("c_name", F.lit("")).alias("candidate_name"), F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")), F.lit("")).alias("headline"), F.array_join(F.sort_array(F.split("c_mktsegment", "I")), " | ").alias("matched"))
-
-
 @query("""SELECT n_nationkey, '{"id":' || n_nationkey || ',"name":"' || n_name || '","region":{"id":' || n_regionkey || ',"note":null}}' AS json FROM nation""")
 def to_json_rows(spark, sf):
     row = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("id"), F.lit(None).cast("string").alias("note")).alias("region"))
@@ -468,9 +535,7 @@ _DIGEST = """sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"sourc
 
 @query(f"SELECT doc_id, {_DIGEST} AS digest FROM documents")
 def doc_fingerprint(spark, sf):
-    from ..streaming.sync import fingerprint
-
-    return _t(spark, sf, "documents").select("doc_id", fingerprint("source", "lang", "n_chars").alias("digest"))
+    return _t(spark, sf, "documents").select("doc_id", syncing.fingerprint("source", "lang", "n_chars").alias("digest"))
 
 
 @query("""
@@ -481,11 +546,231 @@ def index_diff(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     old = docs.where("lang <> 'fr'").select("doc_id", F.col("n_chars").alias("digest"))
     new = docs.where("lang <> 'de'").select("doc_id", F.expr("CASE WHEN n_chars > 2000 THEN n_chars + 1 ELSE n_chars END").alias("digest"))
-    return difference(old, new, "doc_id")
+    return syncing.difference(old, new, "doc_id")
 
 
 @query("""
 SELECT o_orderkey, 'price' AS rule FROM orders WHERE NOT (o_totalprice BETWEEN 10000 AND 400000) UNION ALL
 SELECT o_orderkey, 'status' FROM orders WHERE o_orderstatus NOT IN ('O', 'F')""")
 def quality_violations(spark, sf):
-    return violations(_t(spark, sf, "orders"), "o_orderkey", {"price": F.col("o_totalprice").between(10000, 400000), "status": F.col("o_orderstatus").isin("O", "F")})
+    return schemas.violations(_t(spark, sf, "orders"), "o_orderkey", {"price": F.col("o_totalprice").between(10000, 400000), "status": F.col("o_orderstatus").isin("O", "F")})
+
+
+# Matching, explanations and parsing over the candidates and jobs
+
+
+def _concepts() -> Taxonomy:
+    return Taxonomy.of(CONCEPTS)
+
+
+def _values(kinds=("concept", "software", "preferred")) -> str:
+    """The concepts as SQL rows, one for each alias that normalizing leaves something of."""
+    from ..operators.taxonomy import _normalized
+
+    rows = [(c.kind, c.key, i, c.label, c.weight, _normalized(a)) for i, c in enumerate(_concepts().concepts) for a in c.aliases if c.kind in kinds and _normalized(a)]
+    return "(VALUES " + ", ".join(str(r) for r in rows) + ") AS t(kind, key, seq, label, weight, alias)"
+
+
+_ASKS = f"""
+SELECT job_id, kind, key, seq, label, weight FROM (
+  SELECT 'n' || n_nationkey AS job_id, unnest([{{'kind': 'concept', 't': {_NORM.format(_picked(TASKS, "n_nationkey % 4") + " || ' ' || " + _picked(SKILLS, "n_nationkey % 3"))}}}, {{'kind': 'software', 't': {_NORM.format(_picked(SOFTWARE, "n_nationkey % 3"))}}},
+    {{'kind': 'preferred', 't': {_NORM.format(_picked(WISHES, "(n_nationkey + 1) % 3"))}}}]) AS a FROM nation) JOIN {_values()} ON a.kind = kind AND contains(a.t, alias) GROUP BY ALL"""
+
+
+@query(f"SELECT job_id, kind, key, seq::INT AS seq, label, weight::DOUBLE AS weight FROM ({_ASKS})")
+def required_concepts(spark, sf):
+    return match.requirements(_jobs(spark, sf), _concepts(), fuzzy=False)
+
+
+_BEST = f"""
+SELECT candidate_id, kind, key, arg_min({{'evidence_id': 'E' || lpad((ord + 1)::VARCHAR, 3, '0'), 'text': text, 'section': section}}, pr * 1000 + ord) AS item FROM (
+  SELECT *, CASE section WHEN 'technical_skills' THEN 0 WHEN 'software' THEN 1 WHEN 'certifications' THEN 2 WHEN 'work_experience' THEN 3 WHEN 'education' THEN 4 WHEN 'headline' THEN 5 WHEN 'experience' THEN 6 WHEN 'professional_summary' THEN 7 ELSE 99 END AS pr
+  FROM ({_CATALOG})) JOIN {_values()} ON contains({_NORM.format('text')}, alias) GROUP BY ALL"""
+
+
+@query(f"SELECT candidate_id, kind, key, item.evidence_id AS evidence_id, item.text AS evidence, item.section AS source_section FROM ({_BEST.replace('GROUP BY ALL', 'GROUP BY candidate_id, kind, key')})")
+def best_evidence(spark, sf):
+    rows = match.best_evidence(documents.evidence_catalog(_people(spark, sf)), _concepts(), fuzzy=False)
+    return rows.select("candidate_id", "kind", "key", "item.evidence_id", "item.evidence", "item.source_section")
+
+
+_DEGREES = f"""
+SELECT d.candidate_id, points, label, e.evidence_id FROM (
+  SELECT 'p' || p_partkey AS candidate_id, CASE WHEN p_type IN ('ECONOMY', 'MEDIUM') THEN 100.0 WHEN p_type = 'SMALL' THEN 85.0 ELSE 40.0 END::DOUBLE AS points, 'Relevant education (BSc in ' || p_type || ')' AS label FROM part WHERE p_size % 3 = 0) d
+LEFT JOIN (SELECT candidate_id, 'E' || lpad((min(ord) + 1)::VARCHAR, 3, '0') AS evidence_id FROM ({_CATALOG}) WHERE section = 'education' AND contains(lower(text), 'bsc') GROUP BY 1) e USING (candidate_id)"""
+
+
+@query(f"SELECT * FROM ({_DEGREES})")
+def education_evidence(spark, sf):
+    people = _people(spark, sf)
+    rows = match.education(people, documents.evidence_catalog(people), _concepts())
+    return rows.select("candidate_id", "points", "label", "item.evidence_id")
+
+
+def _scored_pairs(spark, sf):
+    """Each part's candidate against the job of one nation, as retrieval might have placed them."""
+    key = F.col("p_partkey")
+    pairs = _t(spark, sf, "part").select(F.concat(F.lit("n"), key % 25).alias("job_id"), F.concat(F.lit("p"), key).alias("candidate_id"), ((key % 97 + 1) / F.lit(98.0)).alias("retrieval_score"), F.floor(key / 25).cast("int").alias("retrieval_rank"))
+    return match.score_pairs(pairs, _jobs(spark, sf), _people(spark, sf), _concepts(), fuzzy=False)
+
+
+_MET = f"""
+WITH pair AS (SELECT 'n' || (p_partkey % 25) AS job_id, 'p' || p_partkey AS candidate_id, p_partkey, p_size, ((p_partkey % 97) + 1) / 98.0 AS retrieval_score, p_partkey // 25 AS retrieval_rank, p_partkey % 25 AS n_nationkey,
+    CASE WHEN p_size % 2 = 0 THEN lower(p_brand) ELSE '' END AS owns FROM part),
+asks AS ({_ASKS}), best AS ({_BEST.replace('GROUP BY ALL', 'GROUP BY candidate_id, kind, key')}), degrees AS ({_DEGREES}),
+owned AS (SELECT DISTINCT candidate_id, key FROM pair JOIN {_values(('software',))} ON contains(owns, alias)),
+met AS (
+  SELECT p.job_id, p.candidate_id, a.*, b.item, CASE WHEN a.kind = 'software' THEN o.key IS NOT NULL ELSE b.item IS NOT NULL END AS hit, CASE a.kind WHEN 'concept' THEN 0 WHEN 'software' THEN 1 ELSE 3 END AS place
+  FROM pair p JOIN asks a ON a.job_id = p.job_id LEFT JOIN best b ON b.candidate_id = p.candidate_id AND b.kind = a.kind AND b.key = a.key LEFT JOIN owned o ON a.kind = 'software' AND o.candidate_id = p.candidate_id AND o.key = a.key),
+ask2 AS (SELECT p.*, n.n_regionkey, p.n_nationkey % 2 = 0 AS asks, d.points, d.label AS dlabel, d.evidence_id AS deid, coalesce(d.points >= 65, false) AS good FROM pair p JOIN nation n ON n.n_nationkey = p.n_nationkey LEFT JOIN degrees d USING (candidate_id)),
+cover AS (
+  SELECT job_id, candidate_id, 100.0 * sum(CASE WHEN hit THEN weight ELSE 0 END) FILTER (kind = 'concept') / sum(weight) FILTER (kind = 'concept') AS concept,
+    100.0 * avg(hit::INT) FILTER (kind = 'software') AS software, 100.0 * avg(hit::INT) FILTER (kind = 'preferred') AS preferred FROM met GROUP BY ALL),
+said AS (
+  SELECT job_id, candidate_id, hit, place, seq, label FROM met WHERE kind <> 'preferred'
+  UNION ALL SELECT job_id, candidate_id, good, 2, 0, CASE WHEN good THEN dlabel ELSE 'Relevant bachelor''s degree' END FROM ask2 WHERE asks),
+lists AS (SELECT job_id, candidate_id, string_agg(label, '|' ORDER BY place, seq) FILTER (hit) AS matched, string_agg(label, '|' ORDER BY place, seq) FILTER (NOT hit) AS missing FROM said GROUP BY ALL),
+proof AS (
+  SELECT job_id, candidate_id, place, seq, item.evidence_id AS evidence_id FROM met WHERE hit AND item IS NOT NULL
+  UNION ALL SELECT job_id, candidate_id, 2, 0, deid FROM ask2 WHERE asks AND good AND deid IS NOT NULL),
+evidence AS (SELECT job_id, candidate_id, string_agg(evidence_id, '|' ORDER BY place, seq) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY job_id, candidate_id, evidence_id ORDER BY place, seq) AS n FROM proof) WHERE n = 1 GROUP BY ALL),
+parts AS (
+  SELECT a.job_id, a.candidate_id, retrieval_rank, least(100.0, sqrt(retrieval_score) * 100.0) AS semantic,
+    0.70 * coalesce(concept, 100.0) + 0.20 * coalesce(software, 100.0) + 0.10 * CASE WHEN asks THEN coalesce(points, 0.0) ELSE 100.0 END AS required,
+    CASE WHEN a.p_size < 5 * n_regionkey THEN greatest(10.0, 100.0 - 45.0 * (5 * n_regionkey - a.p_size)) WHEN n_nationkey % 4 <> 0 AND a.p_size > 5 * n_regionkey + 10 THEN greatest(45.0, 100.0 - 12.0 * (a.p_size - 5 * n_regionkey - 10)) ELSE 100.0 END AS experience,
+    r.role, coalesce(preferred, 50.0) AS preferred
+  FROM ask2 a JOIN ({_ROLE}) r USING (p_partkey) LEFT JOIN cover c ON c.job_id = a.job_id AND c.candidate_id = a.candidate_id),
+total AS (SELECT *, round(0.25 * semantic + 0.30 * required + 0.15 * experience + 0.20 * role + 0.10 * preferred, 2) AS final_score FROM parts)"""
+
+
+@query(f"""{_MET}
+SELECT t.job_id, t.candidate_id, round(semantic, 6) AS semantic, round(required, 6)::DOUBLE AS required, experience::DOUBLE AS experience, role, round(preferred, 6)::DOUBLE AS preferred, final_score::DOUBLE AS final_score,
+  coalesce(matched, '') AS matched, coalesce(missing, '') AS missing, coalesce(evidence, '') AS evidence
+FROM total t LEFT JOIN lists l ON l.job_id = t.job_id AND l.candidate_id = t.candidate_id LEFT JOIN evidence e ON e.job_id = t.job_id AND e.candidate_id = t.candidate_id""")
+def score_pairs(spark, sf):
+    rows, own = _scored_pairs(spark, sf), lambda c: F.round(f"components.{c}", 6)
+    return rows.select(
+        "job_id", "candidate_id", own("semantic").alias("semantic"), own("required_skills").alias("required"), own("experience").alias("experience"), own("role").alias("role"), own("preferred").alias("preferred"), "final_score",
+        F.array_join("matched", "|").alias("matched"), F.array_join("missing", "|").alias("missing"), F.array_join(F.transform("evidence", lambda e: e["evidence_id"]), "|").alias("evidence"),
+    )
+
+
+_RANKED = f"{_MET}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, retrieval_rank, candidate_id) AS rank FROM total)"
+
+
+@query(f"{_RANKED} SELECT job_id, candidate_id, rank, final_score::DOUBLE AS final_score FROM ranked WHERE rank <= 10")
+def rerank(spark, sf):
+    return match.rerank(_scored_pairs(spark, sf), 10).select("job_id", "candidate_id", F.col("rank").cast("long").alias("rank"), "final_score")
+
+
+def _told(spark, sf):
+    people = _people(spark, sf).select("candidate_id", "full_name", "headline", "total_experience_years")
+    return explained.explain(match.rerank(_scored_pairs(spark, sf), 5).join(people, "candidate_id"))
+
+
+_LABEL = " ".join(f"WHEN {low} THEN '{{}}'" for low in ("final_score >= 85", "final_score >= 70", "final_score >= 55"))
+
+
+@query(f"""{_RANKED},
+hits AS (SELECT job_id, candidate_id, count(*) FILTER (hit) AS n, string_agg('Evidence supports ' || label || '.', '|' ORDER BY place, seq) FILTER (hit AND i <= 5) AS strengths,
+  string_agg('No direct resume evidence found for ' || label || '.', '|' ORDER BY place, seq) FILTER (NOT hit AND i <= 5) AS gaps
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id, candidate_id, hit ORDER BY place, seq) AS i FROM said) GROUP BY ALL)
+SELECT r.job_id, r.candidate_id, {_TIER} AS recommendation, coalesce(strengths, '') AS strengths, coalesce(gaps, '') AS gaps,
+  round(0.55 + 0.35 * least(1.0, least(10, coalesce(len(string_split(evidence, '|')), 0)) / greatest(1, coalesce(n, 0))), 2)::DOUBLE AS confidence
+FROM ranked r LEFT JOIN hits h ON h.job_id = r.job_id AND h.candidate_id = r.candidate_id LEFT JOIN evidence e ON e.job_id = r.job_id AND e.candidate_id = r.candidate_id WHERE rank <= 5""")
+def explain(spark, sf):
+    return _told(spark, sf).select("job_id", "candidate_id", "recommendation", F.array_join("strengths", "|").alias("strengths"), F.array_join("gaps", "|").alias("gaps"), "confidence")
+
+
+@query(f"""{_RANKED}
+SELECT r.job_id, rank, p_name AS candidate, coalesce({_HEADLINE}, '—') AS current_role, p_size::DOUBLE AS experience, final_score::DOUBLE AS fit_score, CASE {_LABEL.format(*list(explained.RECOMMENDATIONS.values())[:3])} ELSE 'Not recommended' END AS recommendation
+FROM ranked r JOIN part ON 'p' || p_partkey = r.candidate_id WHERE rank <= 5""")
+def results_frame(spark, sf):
+    return explained.results_frame(_told(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""{_RANKED}
+SELECT job_id, candidate_id, unnest(['Semantic', 'Requirements', 'Experience', 'Role', 'Preferred']) AS component, round(unnest([semantic, required, experience, role, preferred]), 6)::DOUBLE AS score FROM ranked WHERE rank <= 5""")
+def component_frame(spark, sf):
+    return explained.component_frame(_told(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_RANKED}
+SELECT r.job_id, rank, r.candidate_id, p_name AS candidate_name, coalesce({_HEADLINE}, '') AS headline, p_size || '.0' AS experience_years, final_score::DOUBLE AS score, {_TIER} AS recommendation,
+  coalesce(replace(matched, '|', ' | '), '') AS matched_requirements, coalesce(replace(missing, '|', ' | '), '') AS missing_requirements
+FROM ranked r JOIN part ON 'p' || p_partkey = r.candidate_id LEFT JOIN lists l ON l.job_id = r.job_id AND l.candidate_id = r.candidate_id WHERE rank <= 5""")
+def export_flat(spark, sf):
+    names = ["candidate_id", "candidate_name", "headline", "experience_years", "score", "recommendation", "matched_requirements", "missing_requirements"]
+    return explained.flat(_told(spark, sf), "job_id").select("job_id", F.col("rank").cast("long").alias("rank"), *names)
+
+
+_DUTIES = "['did ' || split_part(p_name, ' ', 1) || ' and more']"
+
+
+@query(f"""
+SELECT 'resume_' || lpad(p_partkey::VARCHAR, greatest(2, length(p_partkey::VARCHAR))::INT, '0') AS candidate_id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS full_name, p_type AS headline, p_brand AS location,
+  p_partkey || '@x.org' AS email, p_size::DOUBLE AS years, replace(p_name, ' ', '|') AS skills, p_type || ';' || p_brand || ';2019;2020;did ' || split_part(p_name, ' ', 1) || ' and more' AS post, 'BSc;' || p_type || ';Uni;2018' AS degree FROM part""")
+def parse_resumes(spark, sf):
+    words = F.split("p_name", " ")
+    lines = F.concat_ws("\n", F.upper("p_name"), "p_type", F.concat(F.lit("Email: "), "p_partkey", F.lit("@x.org")), F.concat(F.lit("Location: "), "p_brand"), F.lit("PROFESSIONAL SUMMARY"), F.concat(F.lit("Has "), "p_size", F.lit("+ years of work.")), F.lit("TECHNICAL SKILLS"),
+                        F.concat(F.lit("\u007f "), words[0]), F.concat(F.lit("● "), words[1]), F.lit("PROFESSIONAL EXPERIENCE"), F.concat_ws(" | ", "p_type", "p_brand", F.lit("2019 - 2020")), F.concat(F.lit("• did "), words[0]), F.lit("and more"), F.lit("EDUCATION\nGPA: 3\nBSc in"), F.lit("Uni | 2018"))
+    text = F.replace(lines, F.lit("BSc in\n"), F.concat(F.lit("BSc in "), "p_type", F.lit("\n")))
+    made = parse.resumes(_t(spark, sf, "part").select(F.concat(F.lit("/x/Resume_"), "p_partkey", F.lit(".pdf")).alias("source_file"), text.alias("text")))
+    w, e = F.col("work_experience")[0], F.col("education")[0]
+    return made.select(
+        "candidate_id", "full_name", "headline", "location", F.col("contact.email").alias("email"), F.col("total_experience_years").alias("years"), F.array_join("skills", "|").alias("skills"),
+        F.concat_ws(";", w["job_title"], w["company"], w["start_date"], w["end_date"], F.array_join(w["responsibilities"], "|")).alias("post"), F.concat_ws(";", e["degree"], e["field_of_study"], e["institution"], e["graduation_year"].cast("string")).alias("degree"),
+    )
+
+
+_KIND = f"CASE WHEN {_ITEM} IN ('Bachelor degree') THEN 'education' WHEN {_ITEM} IN ('5 years of experience') THEN 'dropped' WHEN {_ITEM} = 'CPA preferred' THEN 'certification' WHEN {_ITEM} = 'Microsoft Excel' THEN 'excel' WHEN {_ITEM} = 'Accounting software' THEN 'accounting_software' ELSE 'skill' END"
+
+
+@query(f"""
+SELECT 'j' || p_partkey AS job_id, upper(p_type[1]) || lower(p_type[2:]) || ' Role' AS title, 'Acme' AS company, p_brand AS location, 'Full' AS employment_type, 3.0::DOUBLE AS least, p_size::DOUBLE AS most, CASE WHEN {_KIND} = 'skill' THEN {_ITEM} || '|' ELSE '' END || p_name AS skills,
+  CASE {_KIND} WHEN 'excel' THEN 'Microsoft Excel' WHEN 'accounting_software' THEN '{parse.ACCOUNTING_SOFTWARE}' ELSE '' END AS software, CASE WHEN {_KIND} = 'education' THEN {_ITEM} ELSE '' END AS education, CASE WHEN {_KIND} = 'certification' THEN 'CPA' ELSE '' END AS certificates FROM part""")
+def parse_jobs(spark, sf):
+    item = F.get(F.lit(_ITEMS), (F.col("p_partkey") % len(_ITEMS)).cast("int"))
+    text = F.concat("p_type", F.lit(" ROLE POSITION\nCompany: Acme Location: "), "p_brand", F.lit(" Employment Type: Full Salary Range: 1\nExperience Required: 3 - "), "p_size", F.lit(" years\nREQUIRED SKILLS\n• "), item, F.lit("\n• "), "p_name")
+    made = parse.job_postings(_t(spark, sf, "part").select(F.concat(F.lit("j"), "p_partkey").alias("job_id"), F.lit("f").alias("source_file"), text.alias("text")))
+    joined = lambda c: F.array_join(c, "|")
+    return made.select("job_id", "title", "company", "location", "employment_type", F.col("experience_min_years").alias("least"), F.col("experience_max_years").alias("most"), joined("required_skills").alias("skills"), joined("required_software").alias("software"), joined("education_requirements").alias("education"), joined("preferred_certifications").alias("certificates"))
+
+
+# Benchmarks and sync
+
+
+def _benchmark(spark, sf):
+    """Labels as a benchmark file has them: names that fit but for every seventh document, statuses by quality."""
+    label = 2 * F.col("quality") + (1 - F.col("toxic"))
+    name = F.when(F.col("doc_id") % 7 != 0, _pick(list(metrics.LABEL_NAMES.values()), label))
+    return _t(spark, sf, "labels").select(F.lit("j").alias("job_id"), F.concat(F.lit("d"), "doc_id").alias("candidate_id"), label.alias("relevance_label"), name.alias("label_name"), F.lit("").alias("rationale"), F.when(F.col("quality") == 1, "silver").otherwise("draft").alias("review_status"))
+
+
+@query("SELECT 'd' || doc_id AS candidate_id, 'label_name' AS rule FROM labels WHERE doc_id % 7 = 0")
+def label_violations(spark, sf):
+    return io.label_violations(_benchmark(spark, sf), job_id="j")
+
+
+@query(f"""
+SELECT 'candidates' AS what, NULL AS value, count(*) AS n FROM labels UNION ALL SELECT 'review_status', CASE WHEN quality = 1 THEN 'silver' ELSE 'draft' END, count(*) FROM labels GROUP BY 2
+UNION ALL SELECT 'label', value, count(doc_id) FROM (VALUES {', '.join(str(x) for x in metrics.LABEL_NAMES.items())}) AS v(label, value) LEFT JOIN labels ON 2 * quality + (1 - toxic) = label GROUP BY 2""")
+def benchmark_summary(spark, sf):
+    return metrics.benchmark_summary(_benchmark(spark, sf))
+
+
+@query("SELECT lang, doc_id, 'missing from benchmark' AS rule FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled(spark, sf):
+    docs = _t(spark, sf, "documents").select("lang", "doc_id")
+    return metrics.invalid(docs, docs.join(_t(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"), "lang", "doc_id")
+
+
+@query(f"""SELECT doc_id, {_DIGEST} AS digest, CASE WHEN lang = 'fr' OR n_chars > 2000 THEN 1 ELSE 0 END AS made FROM documents WHERE lang <> 'de'""")
+def index_sync(spark, sf):
+    """An index of all documents but the French, of which long ones have changed since and the German are gone; made: 1 for rows embedded now."""
+    docs = _t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    embed = lambda mark: lambda rows: rows.select("doc_id", F.lit(mark).alias("made"))
+    old = docs.where("lang <> 'fr'").withColumn("n_chars", F.expr("CASE WHEN n_chars > 2000 THEN n_chars + 1 ELSE n_chars END"))
+    columns = ["source", "lang", "n_chars"]
+    index, _ = syncing.sync(None, old, "doc_id", embed(0), columns)
+    return syncing.sync(index, docs.where("lang <> 'de'"), "doc_id", embed(1), columns)[0].select("doc_id", "digest", "made")
