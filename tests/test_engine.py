@@ -8,9 +8,10 @@ from quarry.functions import scoring, text
 from quarry.functions.fuzzy import partial_ratio
 from quarry.operators import metrics, parse
 from quarry.operators.default_taxonomy import default_taxonomy
-from quarry.operators.explain import explain_with_model, flat
+from quarry.operators.explain import flat
 from quarry.operators.match import Weights
 from quarry.operators.schemas import CANDIDATE, JOB, struct
+from quarry.operators.taxonomy import Taxonomy
 from quarry.plans.search import SearchConfig, search
 from quarry.streaming.sync import sync
 
@@ -33,10 +34,6 @@ def test_search_scores(spark):
     assert [(rows[c].rank, rows[c].final_score) for c in ("c1", "c2", "c3")] == [(1, 88.2), (2, 51.67), (3, 35.11)]
     assert rows["c1"].recommendation == "highly_recommended" and rows["c3"].recommendation == "not_recommended"
     assert "c1" in flat(found).toPandas()["candidate_id"].tolist()
-    good = lambda asked: {"strengths": [{"text": "ok", "evidence_ids": [asked["evidence"][0]["evidence_id"]]}], "gaps": [], "confidence": 0.5}
-    bad = lambda asked: {"strengths": [{"text": "ok", "evidence_ids": ["E999"]}], "gaps": [], "confidence": 0.5}
-    assert {tuple(r.strengths) for r in explain_with_model(found, good).collect()} == {("ok",)}
-    assert all("unknown evidence" in r.model_error and r.strengths[0].startswith("Evidence supports") for r in explain_with_model(found, bad).collect())
 
 
 def test_config_and_weights():
@@ -74,10 +71,40 @@ def test_scoring_functions(spark):
 def test_text(spark):
     own = spark.createDataFrame([("TECHNICAL SKILLS\x7f Python\x7f Financial Reporting",), ("ACHIEVEMENTS\n{generate_achievements(experience_years)}\nREFERENCES",)], "t string").withColumn("c", text.clean_extracted(F.col("t")))
     rows = own.select("c", text.bullets(F.col("c")).alias("b"), text.title_case(F.lit("o'neil mc-donald")).alias("n")).collect()
+    nested = spark.range(1).select(text.clean_extracted(F.lit("a {Generate_Achievements(f(a))} b"))).first()[0]
+    assert nested == "a b"
     assert rows[0].b == ["Python", "Financial Reporting"] and "generate" not in rows[1].c and rows[0].n == "O'Neil Mc-Donald"
     assert partial_ratio("accountant", "certified public accountant") == 100 and partial_ratio("financial reportng", "financial reporting") > 92
 
 
+def test_blank_aliases_occur_nowhere(spark):
+    own = Taxonomy.of({"concepts": {"x": {"aliases": ["日本"]}, "y": {"aliases": ["日本", "tax law"]}}})
+    rows = spark.createDataFrame([("nothing here",), ("tax law here",), (None,)], "t string").select(own.hits(F.col("t"), "concept").alias("k")).collect()
+    assert [r.k for r in rows] == [[], ["y"], []]
+    assert [r[0] for r in spark.createDataFrame([("ab",), (None,)], "t string").select(text.contains_any(F.col("t"), ["", "b"])).collect()] == [True, None]
+
+
+def test_fuzzy_containment_against_brute_force():
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (0 if x == y else 2)))
+        return row[-1]
+
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randrange(1, n))) for n in (9, 25))
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        windows = [long[max(0, i) : i + n] for i in range(1 - n, len(long))]
+        best = max(100.0 * (1 - distance(short, w) / (n + len(w))) for w in windows)
+        assert abs(partial_ratio(a, b) - best) < 1e-9
+
+
 def test_parsers(spark):
     resume = "JANE DOE\nSenior Accountant\nEmail: j@x.org\nLocation: Paris\nPROFESSIONAL SUMMARY\nHas 5+ years\nof work.\nTECHNICAL SKILLS\n• a\n• b\nPROFESSIONAL EXPERIENCE\nClerk | Acme | 2019 - 2020\n• did x\nand y\nBoss | Bcme | 2021\n• z\nEDUCATION\nBSc in Math\nUni | 2018\n"
     r = parse.resumes(spark.createDataFrame([("/x/Resume_3.pdf", resume), ("My File.pdf", "")], "source_file string, text string")).orderBy("candidate_id").collect()
@@ -95,7 +122,7 @@ def test_sync(spark):
     docs = lambda *rows: spark.createDataFrame(list(rows), "id string, text string")
     embed = lambda df: df.select(F.col("id"), F.array(F.length("text").cast("float")).alias("vector"))
     first, report = sync(None, docs(("a", "x"), ("b", "y")), "id", embed, ["text"])
-    assert report == {"embedded": 2, "reused": 0, "removed": 0, "full_rebuild": False, "changed": True}
+    assert report == {"embedded": 2, "reused": 0, "removed": 0, "full_rebuild": True, "changed": True}
     _, report = sync(first, docs(("a", "x"), ("b", "yy")), "id", embed, ["text"])
     assert report == {"embedded": 1, "reused": 1, "removed": 0, "full_rebuild": False, "changed": True}
     _, report = sync(first, docs(("a", "x"), ("b", "yy")), "id", embed, ["text"], refit=True)
