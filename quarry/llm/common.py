@@ -44,8 +44,13 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a reliable checkpoint in the shared folder."""
+    """Cuts the lineage at a reliable checkpoint in the shared folder.
+
+    Before that it has Spark remove the files of shuffles and checkpoints that nothing refers to any more: its cleaner
+    acts on what a collection of the driver's memory finds, and a driver with little to do may not collect for hours.
+    """
     spark = df.sparkSession
+    spark._jvm.System.gc()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
@@ -57,18 +62,24 @@ def remove_dir(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key of fewer rows is one task's work, whatever share of all rows that is.
+LIGHT = 1 << 16
+
+
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
     """Inner join of rows to one row a key, of which `weight` says how many of the rows it will meet; weight is dropped.
 
-    A key that meets more than an even task's share of all rows (total; counted if not given) is dealt among as many
-    tasks as it fills. Fewer keys than there are shuffle partitions can be so heavy, which bounds what is broadcast to
-    tell them. Rows are dealt by their hash, so a task that runs again deals them alike.
+    A key that meets more than an even task's share of all rows (total; counted if not given), and over LIGHT, is dealt
+    among as many tasks as it fills. Fewer keys than there are shuffle partitions can be so heavy, which bounds what is
+    broadcast to tell them. Rows are dealt by their hash, so a task that runs again deals them alike.
     """
     parts = max(1, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if total is None:
         one = checkpointed(one)
         total = one.agg(F.sum(weight)).first()[0] or 0
-    share = max(1, total // parts)
+    share = max(LIGHT, total // parts)
+    if total <= share:  # no key can be heavy
+        return many.join(one.drop(weight).hint("merge"), on)
     salts = F.least(F.lit(parts), F.ceil(F.col(weight) / share)).cast("int")
     heavy = one.where(F.col(weight) > share).select(*on, salts.alias("_salts"))
     dealt = many.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
@@ -76,11 +87,6 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], weight: str, tot
     return dealt.join(held.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
-def free(spark: SparkSession) -> None:
-    """Has Spark remove the files of shuffles and checkpoints that nothing refers to any more: its cleaner acts on what a collection of the driver's memory finds."""
-    spark._jvm.System.gc()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value worked out once a row however often the body names it."""
     return F.transform(F.array(value), body)[0]

@@ -89,7 +89,9 @@ def test_simhash_fingerprints():
         assert simhash.fingerprint((t or "").encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_links_against_brute_force(spark):
+@pytest.mark.parametrize("small", [simhash.SMALL, 0])
+def test_simhash_links_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
     r, fps = random.Random(3), set()
     for _ in range(25):
         x = r.getrandbits(64)
@@ -110,7 +112,7 @@ def test_simhash_links_against_brute_force(spark):
         if (a ^ b).bit_count() <= 3:
             root[find(a)] = find(b)
     wanted = {frozenset(f for f in fps if find(f) == x) for x in map(find, fps)}
-    signed = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    signed = spark.createDataFrame([(simhash._signed(f), simhash._signed(f)) for f in fps], "fp long, label long")
     found = {r.node: r.root for r in components.components(simhash.links(signed)).collect()}
     groups = {}
     for f in fps:
