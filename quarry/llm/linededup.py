@@ -91,8 +91,8 @@ r AS (
   SELECT doc_id, text, p, row_number() OVER o AS k, first_value(doc_id) OVER o AS d1, first_value(text) OVER o AS t1, first_value(p) OVER o AS p1
   FROM w WHERE regexp_matches(g, '[^\x20\x09-\x0D]')
   WINDOW o AS (PARTITION BY g ORDER BY doc_id NULLS LAST, text, p)),
-q AS (SELECT doc_id, text, unnest([p, p + 1, p + 2]) AS at, CASE WHEN d1 IS NOT DISTINCT FROM doc_id AND t1 = text THEN p1 + 2 ELSE 0 END AS held FROM r WHERE k > 1),
-c AS (SELECT doc_id, text, list(DISTINCT at) AS cut FROM q WHERE at > held GROUP BY doc_id, text)
+q AS (SELECT doc_id, text, unnest([p, p + 1, p + 2]) AS line, CASE WHEN d1 IS NOT DISTINCT FROM doc_id AND t1 = text THEN p1 + 2 ELSE 0 END AS held FROM r WHERE k > 1),
+c AS (SELECT doc_id, text, list(DISTINCT line) AS cut FROM q WHERE line > held GROUP BY doc_id, text)
 SELECT l.doc_id,
        CASE WHEN c.cut IS NULL THEN l.text ELSE
          coalesce(array_to_string(list_filter(l.x, lambda v, i: NOT list_contains(c.cut, i)), chr(10)), '') END AS text,
