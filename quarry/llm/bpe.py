@@ -151,17 +151,20 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (packed little-endian unsigned 32-bit integers), n_tokens of every text."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, ids (packed little-endian unsigned 32-bit integers), n_tokens, and decoded_sha256, the digest of what the ids decode to, of every text."""
+    names = [*keep, "ids", "n_tokens", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
             for part in slices(batch):
-                ids = [own.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+                ids = [own.encode(t) for t in part.column(len(keep)).to_pylist()]
+                digests = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digests, pa.string())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, ids binary, n_tokens long, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

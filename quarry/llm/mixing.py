@@ -252,3 +252,14 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, most: int = 3, seed
 
     arrow = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     return joined.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def with_epochs(mixed: DataFrame) -> DataFrame:
+    """doc_id, epoch, text of mixed documents: rows of one document are numbered from 0, as the mix made them.
+
+    A later epoch takes some of the blocks of the one before, so the longer text comes first. Without a doc_id, equal
+    texts are numbered.
+    """
+    whose = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    order = W.partitionBy("doc_id", whose).orderBy(F.desc("n_chars"), F.xxhash64("text"))
+    return mixed.select("doc_id", (F.row_number().over(order) - 1).alias("epoch"), "text")
