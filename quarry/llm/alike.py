@@ -39,9 +39,9 @@ MINIMA = TREES * (KEY + ORDER)
 #: Sketches of sets of likeness 0.8 agree in 57.6 minima of 72, with a deviation of 3.4; the exact pass finds those that agree less.
 AGREE = 48
 #: Bits a hash of the parity bitmap, and bits of the one folded from it that travels with each shingle; members of a shingle a salt; shingles listed as frequent and the sample that finds them.
-BITS, FOLDED = 4, 256
+BITS, FOLDED = 1, 256
 SALTED = 2048
-LISTED, SAMPLE, LEAST = 1 << 17, 16, 3
+LISTED, SAMPLE, LEAST = 1 << 17, 32, 3
 #: Up to so many documents are broadcast to fetch their texts.
 FEW = 100_000
 _digest = partial(xxhash.xxh64_digest, seed=42)
@@ -97,7 +97,7 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
 def parity(hashes: np.ndarray) -> np.ndarray:
     """A bitmap in which each hash flips a bit, as longs: two differ in no more bits than their sets differ in hashes.
 
-    It has 4 bits a hash or more, a power of two; one of twice the size folds onto the other by its halves.
+    It has BITS bits a hash or more, a power of two; one of twice the size folds onto the other by its halves.
     """
     size = max(FOLDED, 1 << (BITS * hashes.size - 1).bit_length())
     flips = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,9 +48,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a reliable checkpoint in the shared folder.
 
     Before that it has Spark remove the files of shuffles and checkpoints that nothing refers to any more: its cleaner
-    acts on what a collection of the driver's memory finds, and a driver with little to do may not collect for hours.
+    acts on what a collection of the driver's memory finds (Python's and the JVM's), and a driver with little to do may
+    not collect for hours.
     """
     spark = df.sparkSession
+    gc.collect()
     spark._jvm.System.gc()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -92,6 +95,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The columns by which rows are dealt and joined, so that a join and the grouping of equal rows share one shuffle.
+ROW = ["_id", "_none", "tie"]
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, tie) with ROW, of which none is null."""
+    return rows.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
+
+
 def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

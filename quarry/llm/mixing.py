@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, WORD, checkpointed, count_words, slices, table
+from .common import DOCUMENT_COLUMNS, ROW, WORD, checkpointed, count_words, keyed, slices, table
 
 MAX_SOURCES = 100_000
 #: Streams are ordered by buckets of about so many documents first, which lets offsets be summed in parallel within a source.
@@ -226,8 +226,8 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, most: int = 3, seed
     _, drawn = draw_documents(docs, block_words, most, seed)
     each = drawn.where("times > 0").groupBy("sid", "bucket", "rn", "doc_id", "tie", "start").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("blocks"))  # as many as the document has
     own = docs.select(*DOCUMENT_COLUMNS)
-    own = own.withColumn("tie", F.xxhash64(*DOCUMENT_COLUMNS)).dropDuplicates(["doc_id", "tie"])
-    joined = own.join(each.select("doc_id", "tie", "start", "blocks").withColumnRenamed("doc_id", "id"), (F.col("doc_id").eqNullSafe(F.col("id"))) & (own.tie == each.tie)).select(*DOCUMENT_COLUMNS, "start", "blocks")
+    own = keyed(own.withColumn("tie", F.xxhash64(*DOCUMENT_COLUMNS))).dropDuplicates(ROW)
+    joined = own.join(keyed(each).select(*ROW, "start", "blocks").hint("merge"), ROW).select(*DOCUMENT_COLUMNS, "start", "blocks")
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import alike
-from .common import DOCUMENT_COLUMNS, checkpointed, slices, spread_join, table
+from .common import DOCUMENT_COLUMNS, ROW, checkpointed, keyed, slices, spread_join, table
 from .components import components
 
 RADIUS, BLOCKS = 3, 9
@@ -199,7 +199,6 @@ def keep_representatives(docs: DataFrame, width: int = 5, tenths: int = 8) -> Da
     own = checkpointed(sketched(kept, width, tenths))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     grouped = own.groupBy("fp").agg(F.min(place).alias("first")).join(alike_roots(kept, own, width, tenths).hint("merge"), "fp")
-    best = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
-    rows = kept.withColumn("_own", _tie(kept))
-    found = rows.join(best.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")))
-    return found.dropDuplicates(["doc_id", "_own"]).select(*DOCUMENT_COLUMNS)
+    best = keyed(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie")).select(*ROW)
+    rows = keyed(kept.withColumn("tie", _tie(kept)))
+    return rows.join(best.hint("merge"), ROW).dropDuplicates(ROW).select(*DOCUMENT_COLUMNS)
