@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quarry.operators import embed, explain, metrics, retrieve, tfidf
+from quarry.operators import embed, explain, metrics, retrieve, schemas, tfidf
 from quarry.operators.default_taxonomy import default_taxonomy
 from quarry.operators.schemas import CANDIDATE, JOB
 from quarry.plans import experiments, index
@@ -23,12 +23,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not fi
 
 @pytest.fixture(scope="module")
 def people(spark):
-    return records(spark, CANDIDATES, CANDIDATE).cache()
+    return schemas.candidates(records(spark, CANDIDATES, CANDIDATE)).cache()
 
 
 @pytest.fixture(scope="module")
 def jobs(spark):
-    return records(spark, JOBS, JOB).cache()
+    return schemas.jobs(records(spark, JOBS, JOB)).cache()
 
 
 def toy(texts, task=None):
