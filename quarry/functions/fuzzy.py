@@ -35,9 +35,25 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def pieces(alias: str, least: float) -> list[str]:
+    """Parts of an alias, one of which any text of its length or more holds unchanged if it is `least` alike to it.
+
+    Likeness of `least` leaves room for so many insertions and deletions, and each breaks one part at most.
+    """
+    edits = int(2 * len(alias) * (1 - least / 100) + 1e-9)
+    cuts = [round(i * len(alias) / (edits + 1)) for i in range(edits + 2)]
+    return [alias[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def near_aliases(text: str, aliases: list[tuple[str, list[str]]], least: float) -> list[str]:
+    """The aliases, each with its pieces, that nearly occur in a text but do not occur."""
+    some = [a for a, parts in aliases if len(text) < len(a) or any(p in text for p in parts)]
+    return [a for a in some if a not in text and partial_ratio(a, text) >= least]
+
+
 def fuzzy_aliases(texts: Column, aliases: list[str], least: float = 92.0) -> Column:
     """Which aliases (eight characters at least) nearly occur in each normalized text; exact ones are left to contains."""
-    wanted = [a for a in aliases if len(a) >= 8]
+    wanted = [(a, pieces(a, least)) for a in aliases if len(a) >= 8]
 
     @F.pandas_udf("array<string>")
     def near(batch: pd.Series) -> pd.Series:
@@ -47,7 +63,7 @@ def fuzzy_aliases(texts: Column, aliases: list[str], least: float = 92.0) -> Col
             if not text:
                 return []
             if text not in memo:
-                memo[text] = [a for a in wanted if a not in text and partial_ratio(a, text) >= least]
+                memo[text] = near_aliases(text, wanted, least)
             return memo[text]
 
         return batch.map(of)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring, text
-from quarry.functions.fuzzy import partial_ratio
+from quarry.functions.fuzzy import near_aliases, partial_ratio, pieces
 from quarry.operators import metrics, parse
 from quarry.operators.default_taxonomy import default_taxonomy
 from quarry.operators.explain import flat
@@ -105,6 +105,23 @@ def test_fuzzy_containment_against_brute_force():
         assert abs(partial_ratio(a, b) - best) < 1e-9
 
 
+def test_no_near_alias_is_lost_by_its_pieces():
+    import random
+
+    r, found = random.Random(5), 0
+    for _ in range(400):
+        alias = "".join(r.choice("abcd ") for _ in range(r.randrange(8, 26)))
+        edited = list(alias)
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(edited))
+            edited[at : at + r.randrange(2)] = r.choice(["", "x", "ab"])
+        text = "".join(r.choice("abcd ") for _ in range(r.randrange(12))) + "".join(edited) + "".join(r.choice("abcd ") for _ in range(r.randrange(12)))
+        wanted = [alias] if alias not in text and partial_ratio(alias, text) >= 92 else []
+        assert near_aliases(text, [(alias, pieces(alias, 92))], 92) == wanted and "".join(pieces(alias, 92)) == alias
+        found += len(wanted)
+    assert found > 30
+
+
 def test_parsers(spark):
     resume = "JANE DOE\nSenior Accountant\nEmail: j@x.org\nLocation: Paris\nPROFESSIONAL SUMMARY\nHas 5+ years\nof work.\nTECHNICAL SKILLS\n• a\n• b\nPROFESSIONAL EXPERIENCE\nClerk | Acme | 2019 - 2020\n• did x\nand y\nBoss | Bcme | 2021\n• z\nEDUCATION\nBSc in Math\nUni | 2018\n"
     r = parse.resumes(spark.createDataFrame([("/x/Resume_3.pdf", resume), ("My File.pdf", "")], "source_file string, text string")).orderBy("candidate_id").collect()
