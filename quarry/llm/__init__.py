@@ -11,6 +11,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, linededup, quality
+    from . import chat, linededup, quality, warc
 
-    return {"op6_quality_rules": quality.OP6_SQL, "op8_chat_format": chat.OP8_SQL, "op9_line_dedup": linededup.OP9_SQL}
+    return {"op5_warc": warc.OP5_SQL, "op6_quality_rules": quality.OP6_SQL, "op8_chat_format": chat.OP8_SQL, "op9_line_dedup": linededup.OP9_SQL}
