@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import DOCUMENT_COLUMNS, ROW, WORD, checkpointed, count_words, keyed, slices, table
 
 MAX_SOURCES = 100_000
-#: Streams are ordered by buckets of about so many documents first, which lets offsets be summed in parallel within a source.
-BUCKET_ROWS = 4096
+#: Streams are ordered by buckets first, which lets offsets be summed in parallel within a source: so many at least, and more for buckets of about so many documents.
+BUCKETS, BUCKET_ROWS = 1024, 4096
 SLOTS_PER_SHARD = 4096
 SHARDS_PER_GROUP = 256
 
@@ -94,7 +94,7 @@ def plan(rows: DataFrame, block_words: int, most: int, seed: int) -> Plan:
     blocks = [-(-s // block_words) for s in sizes]
     # A source's slots: its target in blocks as they are on average, none beyond `most` epochs.
     wanted = [min(most * b, round(t * b / s)) if s else 0 for t, b, s in zip(targets, blocks, sizes, strict=True)]
-    buckets = 1 << max(0, (max((r["n"] for r in found), default=1) // BUCKET_ROWS).bit_length())
+    buckets = max(BUCKETS, 1 << (max((r["n"] for r in found), default=1) // BUCKET_ROWS).bit_length())
     return Plan([r["source"] for r in found], sizes, targets, blocks, wanted, buckets, block_words, most, seed)
 
 
