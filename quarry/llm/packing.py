@@ -6,7 +6,7 @@ holds it, found in a segment tree over capacities. A row carries its ids (padded
 32-bit integers, so that the rows of a group are a matrix), the cumulative segment lengths, the places
 where positions start again, and for each segment its document and offset.
 
-Written out, a group is a file of its bare matrix and the index tells each row's file and place in it; a task writes
+Written out, a group is a file of its bare matrix, of two bytes an id where the vocabulary fits, and the index tells each row's file and place in it; a task writes
 to a name of its own try and renames, so a task that runs again leaves the same files.
 
 Groups are runs of documents of one input partition, closed at GROUP_TOKENS tokens, so memory is bounded and
@@ -131,10 +131,16 @@ def packed(docs: DataFrame, path: str, pattern: str, row_tokens: int = ROW_TOKEN
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def write_matrices(rows: DataFrame, directory: str, row_tokens: int = ROW_TOKENS) -> DataFrame:
-    """Writes the ids of packed rows as files of little-endian unsigned 32-bit integers, row_tokens to a row.
+def id_bytes(path: str, pattern: str) -> int:
+    """Bytes that every id of the vocabulary fits in: 2 or 4."""
+    return 2 if tokenizer(path, pattern).max_token_value < 1 << 16 else 4
 
-    Returns the index: path, bytes_from, and the columns of a row but its ids. No rows give no files.
+
+def write_matrices(rows: DataFrame, directory: str, row_tokens: int = ROW_TOKENS, width: int = 4) -> DataFrame:
+    """Writes the ids of packed rows as files of little-endian unsigned integers of width bytes, row_tokens to a row.
+
+    Returns the index: path, bytes_from, and the columns of a row but its ids. No rows give no files; an id that does
+    not fit raises.
     """
     names = ["path", "bytes_from", *(n for n in _NAMES if n != "input_ids")]
 
@@ -155,11 +161,11 @@ def write_matrices(rows: DataFrame, directory: str, row_tokens: int = ROW_TOKENS
                     raise ValueError(f"a row of {len(ids)} bytes in a matrix of {row_tokens} tokens to a row")
                 if (shard, group) != name:
                     close()
-                    name, path = (shard, group), f"{base}/ids-{shard:05d}-{group:05d}.u32"
+                    name, path = (shard, group), f"{base}/ids-{shard:05d}-{group:05d}.u{8 * width}"
                     out = store.open_output_stream(f"{path}.{attempt}.tmp", compression=None)
                 paths.append(f"{directory}/{posixpath.basename(path)}")
                 froms.append(out.tell())
-                out.write(ids)
+                out.write(_narrowed(ids, width))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(froms, pa.int64()), *(batch.column(n) for n in names[2:])], names)
         close()
 
@@ -169,8 +175,17 @@ def write_matrices(rows: DataFrame, directory: str, row_tokens: int = ROW_TOKENS
     return rows.sparkSession.read.parquet(index).select(*[F.col(n) for n in names])
 
 
-def read_matrices(index: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
-    """The rows of an index with their ids (input_ids), read back from the files; a file that ends early raises."""
+def _narrowed(ids: bytes, width: int) -> bytes:
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if wide.size and wide.max() >= 1 << 8 * width:
+        raise ValueError(f"an id does not fit in {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
+def read_matrices(index: DataFrame, row_tokens: int = ROW_TOKENS, width: int = 4) -> DataFrame:
+    """The rows of an index with their ids (input_ids, 32-bit), read back from the files; a file that ends early raises."""
     names = [*index.columns, "input_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +197,10 @@ def read_matrices(index: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
                         file.close()
                     store, name = fs.FileSystem.from_uri(path)
                     file, at = store.open_input_file(name), path
-                ids.append(file.read_at(4 * row_tokens, begin))
-                if len(ids[-1]) != 4 * row_tokens:
+                data = file.read_at(width * row_tokens, begin)
+                if len(data) != width * row_tokens:
                     raise ValueError(f"{path} ends within the row at {begin}")
+                ids.append(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
             if file is not None:
                 file.close()
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names)
@@ -195,6 +211,7 @@ def read_matrices(index: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
 
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document, writes the matrices and their index, and returns the index with the ids read back."""
-    rows = packed(table(spark, sf_dir, "documents"), *default_vocabulary())
-    index = write_matrices(rows, fresh_dir(spark, "matrices"))
-    return read_matrices(index).select(*_NAMES)
+    vocabulary = default_vocabulary()
+    width = id_bytes(*vocabulary)
+    index = write_matrices(packed(table(spark, sf_dir, "documents"), *vocabulary), fresh_dir(spark, "matrices"), width=width)
+    return read_matrices(index, width=width).select(*_NAMES)
