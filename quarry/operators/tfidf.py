@@ -79,9 +79,9 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                found = Counter(terms(value))
+                found = terms(value)
                 tf.update(found)
-                df.update(found.keys())
+                df.update(set(found))
                 n += 1
                 if len(tf) > HELD_TERMS:
                     yield from held()
