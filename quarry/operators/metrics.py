@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,10 @@ LABEL_NAMES = {0: "not_suitable", 1: "weak_fit", 2: "moderate_fit", 3: "strong_f
 METRICS = ("precision", "recall", "strong_rate", "ndcg", "reciprocal_rank", "average_precision")
 #: Ranks that one task adds up; sums over longer rankings are put together from such stretches.
 STRETCH = 1 << 16
+#: Rows of a group that one task holds to shuffle them; larger groups are dealt out by trial and stretch.
+HELD = 1 << 20
+#: Trials of a group that one task draws side by side, and rows of small groups that it works on together.
+BLOCK, TOGETHER = 32, 1 << 16
 
 
 def _gain(label: Column) -> Column:
@@ -81,10 +90,26 @@ def invalid(rankings: DataFrame, labels: DataFrame, by: str, key: str) -> DataFr
 def random_baseline(labels: DataFrame, by: str, key: str, ks: list[int], trials: int = 1000, seed: int = 42) -> DataFrame:
     """Mean metrics of shuffled rankings; each trial of each group is a ranking of its own.
 
-    A shuffle is the order of hashes, which are even over their range: rows of a group part into stretches of that range,
-    and a rank is the place within the stretch after the rows of the stretches before.
+    A shuffle is the order of hashes of trial and key. Groups of up to HELD rows are sent once for each block of trials, and
+    ranked in memory; of larger ones each trial's rows are sent, so that no task holds such a group.
+    """
+    if not ks or min(ks) <= 0:
+        raise ValueError("ks must be positive")
+    rows = labels.select(F.col(by), F.col(key), F.col("label")).where(F.col(by).isNotNull())
+    heavy = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > HELD).select(by)
+    if not heavy.limit(1).count():
+        return _drawn_by_block(rows, by, key, sorted(set(ks)), trials, seed)
+    light = _drawn_by_block(rows.join(heavy, by, "left_anti"), by, key, sorted(set(ks)), trials, seed)
+    return light.unionByName(_drawn_by_trial(rows.join(heavy, by, "left_semi"), by, key, ks, trials, seed))
+
+
+def _drawn_by_trial(labels: DataFrame, by: str, key: str, ks: list[int], trials: int, seed: int) -> DataFrame:
+    """random_baseline of groups of any size.
+
+    Hashes are even over their range: rows of a group part into stretches of that range, and a rank is the place within the
+    stretch after the rows of the stretches before.
     """
-    runs = labels.select(F.col(by), F.col(key), F.col("label")).withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    runs = labels.withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     drawn = runs.withColumn("_draw", F.xxhash64("_trial", key, F.lit(seed))).withColumn("_stretch", F.shiftright("_draw", 56))
     sums = drawn.groupBy(by, "_trial", "_stretch").agg(F.count("*").alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(W.partitionBy(by, "_trial").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -94,6 +119,93 @@ def random_baseline(labels: DataFrame, by: str, key: str, ks: list[int], trials:
     return each.groupBy(by, "k").agg(*[F.avg(c).alias(c) for c in METRICS])
 
 
+def _drawn_by_block(labels: DataFrame, by: str, key: str, ks: list[int], trials: int, seed: int) -> DataFrame:
+    """random_baseline of groups of up to HELD rows: a task gets whole groups, one after another, with the hashes of BLOCK trials."""
+    block, together = BLOCK, TOGETHER
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = labels.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((trials - 1) // block))))
+    dealt = cells.repartition(parts, by, "_block").sortWithinPartitions("_block", by, key)
+    draws = [F.xxhash64(F.col("_block") * block + i, key, F.lit(seed)).alias(f"_{i}") for i in range(block)]
+    kind = labels.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+            starts = _starts(batch.column(0), batch.column(1))
+            cut = int(starts[-1])  # 0: all rows are of one cell
+            if (cut or first != last) and n + cut >= together:
+                yield _block_sums(pa.Table.from_batches([*held, batch.slice(0, cut)]), ks, trials, block)
+                held, n = [], 0
+                batch = batch.slice(cut)
+            held.append(batch)
+            n += batch.num_rows
+            last = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py())
+        if held:
+            yield _block_sums(pa.Table.from_batches(held), ks, trials, block)
+
+    drawn = dealt.select(by, "_block", F.col(key).isNotNull().alias("_keyed"), F.col("label").cast("double").alias("_label"), *draws)
+    sums = drawn.mapInArrow(run, f"{by} {kind}, k int, " + ", ".join(f"{c} double" for c in METRICS))
+    return sums.groupBy(by, "k").agg(*[(F.sum(c) / trials).alias(c) for c in METRICS])
+
+
+def _starts(groups: pa.Array, blocks: pa.Array) -> np.ndarray:
+    """Where a cell, the rows of a group and block, begins."""
+    blocks = blocks.to_numpy(zero_copy_only=False) if isinstance(blocks, pa.Array) else blocks.to_numpy()
+    other = pc.not_equal(groups.slice(1), groups.slice(0, len(groups) - 1))
+    other = other.to_numpy(zero_copy_only=False) if isinstance(other, pa.Array) else other.to_numpy()
+    return np.concatenate([[0], np.flatnonzero(other.astype(bool) | (blocks[1:] != blocks[:-1])) + 1])
+
+
+def _block_sums(rows: pa.Table, ks: list[int], trials: int, block: int) -> pa.RecordBatch:
+    """group, k and the metrics, added up over a block of trials, of whole cells whose rows stand in the order of their keys."""
+    groups = rows.column(0).combine_chunks()
+    blocks, keyed, label = (rows.column(i).to_numpy() for i in (1, 2, 3))
+    starts = _starts(groups, pa.array(blocks))
+    n, sizes = starts.size, np.diff([*starts, rows.num_rows])
+    cell = np.repeat(np.arange(n), sizes)
+    rank = np.arange(rows.num_rows) - starts[cell] + 1  # of the row in that place, once rows are in order
+    discount = 1.0 / np.log2(rank + 1.0)
+    gain, keyed = np.nan_to_num(2.0**label - 1.0), keyed.astype(bool)
+    relevant = np.bincount(cell, label >= RELEVANT, n)
+    hit, strong = (label >= RELEVANT) & keyed, (label == STRONG) & keyed
+    tops = [np.flatnonzero(rank <= k) for k in ks]
+    best = gain[np.lexsort((-label, cell))]
+    ideal = [np.bincount(cell[top], best[top] * discount[top], n) for top in tops]
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b != 0)
+    sums = np.zeros((len(ks), len(METRICS), n))
+    for i in range(block):
+        asked = blocks[starts] * block + i < trials
+        if not asked.any():
+            break
+        draw = rows.column(4 + i).to_numpy()
+        if n == 1:
+            order = np.argsort(draw)
+            drawn = draw[order]
+            if (drawn[1:] == drawn[:-1]).any():  # equal hashes go by their keys
+                order = np.argsort(draw, kind="stable")
+        else:
+            order = np.lexsort((draw, cell))
+        at = np.flatnonzero(hit[order])
+        own = cell[at]
+        nth = np.arange(at.size)
+        seen = nth - np.searchsorted(own, own) + 1 if n > 1 else nth + 1
+        precision_sum = ratio(np.bincount(own, seen / rank[at], n), relevant)
+        first = np.zeros(n)
+        first[own[seen == 1]] = 1.0 / rank[at[seen == 1]]
+        for j, top in enumerate(tops):
+            of, row = cell[top], order[top]
+            ranked, hits, strongs = (np.bincount(of, x[row], n) for x in (keyed, hit, strong))
+            dcg = np.bincount(of, gain[row] * keyed[row] * discount[top], n)
+            made = ratio(hits, ranked), ratio(hits, relevant), ratio(strongs, ranked), ratio(dcg, ideal[j]), first, precision_sum
+            sums[j] += np.where(asked, made, 0.0)
+    some = np.flatnonzero(np.bincount(cell, keyed, n))  # a group without any key has no ranking
+    columns = [groups.take(pa.array(np.tile(starts[some], len(ks)))), pa.array(np.repeat(ks, some.size), pa.int32()), *[pa.array(sums[:, c, some].ravel()) for c in range(len(METRICS))]]
+    return pa.RecordBatch.from_arrays(columns, [rows.column_names[0], "k", *METRICS])
+
+
 def compare(rankings: DataFrame, labels: DataFrame, key: str, experiments: list[str]) -> DataFrame:
     """key, label and each experiment's rank, side by side; rankings: experiment, key, rank."""
     return labels.join(rankings.groupBy(key).pivot("experiment", experiments).agg(F.max("rank")), key, "left")
