@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 BULLET = "•"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once a row however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -37,8 +43,8 @@ def normalize_match(text: Column) -> Column:
 
 def bullets(text: Column) -> Column:
     """The items after each bullet; what stands before the first is no item."""
-    items = F.split(F.coalesce(text, F.lit("")), BULLET, -1)
-    return F.filter(F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), collapse), lambda x: x != "")
+    items = F.slice(F.split(F.coalesce(text, F.lit("")), BULLET, -1), 2, 1 << 30)
+    return F.filter(F.transform(items, collapse), lambda x: x != "")
 
 
 def lines(text: Column) -> Column:
@@ -47,9 +53,8 @@ def lines(text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """Every letter after a non-letter is a capital, every other one is small."""
-    chars = F.transform(F.split(F.lower(text), ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    low = F.split(F.lower(text), "")
-    return F.array_join(F.transform(chars, lambda x: F.when(F.coalesce(F.get(low, x["i"] - 1).rlike(r"\p{L}"), F.lit(False)), x["c"]).otherwise(F.upper(x["c"]))), "")
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}*\P{L}|\p{L}+"), F.lit(0))  # each ends at its first non-letter, so only its head follows one
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -81,14 +86,19 @@ def sections(text: Column, headings: tuple[str, ...]) -> Column:
     """
     own = "|".join(sorted(headings, key=len, reverse=True))
     marked = F.regexp_replace(text, rf"(?m)^({own})\s*$", "\u0001$1\u0002")
-    parts = F.split(marked, "\u0001", -1)
     entry = lambda p: F.struct(F.substring_index(p, "\u0002", 1).alias("key"), trim_all(F.substring_index(p, "\u0002", -1)).alias("value"))
-    named = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), entry)
-    last = F.filter(named, lambda e: F.size(F.filter(named, lambda x: x["key"] == e["key"])) == 1)
-    repeated = F.filter(F.transform(F.array_distinct(F.transform(named, lambda e: e["key"])), lambda k: F.element_at(F.filter(named, lambda x: x["key"] == k), -1)), lambda e: F.size(F.filter(named, lambda x: x["key"] == e["key"])) > 1)
-    before = trim_all(F.get(parts, 0))
-    head = F.filter(F.array(F.struct(F.lit("PREAMBLE").alias("key"), before.alias("value"))), lambda e: (e["value"] != "") | (F.size(parts) == 1))
-    return F.map_from_entries(F.concat(head, last, repeated))
+
+    def last_of_each(named: Column) -> Column:
+        last = F.filter(named, lambda e: F.size(F.filter(named, lambda x: x["key"] == e["key"])) == 1)
+        repeated = F.filter(F.transform(F.array_distinct(F.transform(named, lambda e: e["key"])), lambda k: F.element_at(F.filter(named, lambda x: x["key"] == k), -1)), lambda e: F.size(F.filter(named, lambda x: x["key"] == e["key"])) > 1)
+        return F.concat(last, repeated)
+
+    def entries(parts: Column) -> Column:
+        before = F.array(F.struct(F.lit("PREAMBLE").alias("key"), trim_all(F.get(parts, F.lit(0))).alias("value")))
+        head = F.filter(before, lambda e: (e["value"] != "") | (F.size(parts) == 1))
+        return F.concat(head, let(F.transform(F.slice(parts, 2, 1 << 30), entry), last_of_each))
+
+    return F.map_from_entries(let(F.split(marked, "\u0001", -1), entries))
 
 
 def contains_any(text: Column, needles) -> Column:

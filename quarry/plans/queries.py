@@ -44,6 +44,11 @@ def _dealt(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
+def _dealt_by(table: DataFrame, *key: str) -> DataFrame:
+    """A table in few row groups, which Spark reads in as few tasks however many splits it makes: its rows are dealt to all cores by their key before costly work."""
+    return table.repartition(4 * table.sparkSession.sparkContext.defaultParallelism, *key)
+
+
 def _title(key: str) -> Column:
     return F.get(F.lit(TITLES), (F.col(key) % len(TITLES)).cast("int"))
 
@@ -738,7 +743,7 @@ SELECT 'j' || p_partkey AS job_id, upper(p_type[1]) || lower(p_type[2:]) || ' Ro
 def parse_jobs(spark, sf):
     item = F.get(F.lit(_ITEMS), (F.col("p_partkey") % len(_ITEMS)).cast("int"))
     text = F.concat("p_type", F.lit(" ROLE POSITION\nCompany: Acme Location: "), "p_brand", F.lit(" Employment Type: Full Salary Range: 1\nExperience Required: 3 - "), "p_size", F.lit(" years\nREQUIRED SKILLS\n• "), item, F.lit("\n• "), "p_name")
-    made = parse.job_postings(_t(spark, sf, "part").select(F.concat(F.lit("j"), "p_partkey").alias("job_id"), F.lit("f").alias("source_file"), text.alias("text")))
+    made = parse.job_postings(_dealt_by(_t(spark, sf, "part"), "p_partkey").select(F.concat(F.lit("j"), "p_partkey").alias("job_id"), F.lit("f").alias("source_file"), text.alias("text")))
     joined = lambda c: F.array_join(c, "|")
     return made.select("job_id", "title", "company", "location", "employment_type", F.col("experience_min_years").alias("least"), F.col("experience_max_years").alias("most"), joined("required_skills").alias("skills"), joined("required_software").alias("software"), joined("education_requirements").alias("education"), joined("preferred_certifications").alias("certificates"))
 
