@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BULLET, bullets, clean_extracted, collapse, found, labelled, lines, sections, title_case, year, years_of_experience
+from ..functions.text import BULLET, bullets, clean_extracted, collapse, found, labelled, let, lines, sections, title_case, year, years_of_experience
 
 #: Headings of the two layouts.
 RESUME = ("PROFESSIONAL SUMMARY", "TECHNICAL SKILLS", "SOFTWARE PROFICIENCY", "PROFESSIONAL EXPERIENCE", "EDUCATION", "CERTIFICATIONS", "ACHIEVEMENTS", "REFERENCES")
@@ -42,12 +42,14 @@ def work_experience(section: Column) -> Column:
         )
 
     def record(p: Column) -> Column:
-        part = lambda i: collapse(F.get(F.split(p["header"], r"\|", -1), F.lit(i)))
-        dates = part(2)
+        return let(F.transform(F.slice(F.split(p["header"], r"\|", -1), 1, 3), collapse), lambda parts: post_of(parts, p["bullets"]))
+
+    def post_of(parts: Column, duties: Column) -> Column:
+        dates = F.get(parts, F.lit(2))
         ranged = dates.contains(" - ")
         return F.struct(
-            part(0).alias("job_title"), part(1).alias("company"), F.when(ranged, F.trim(F.split(dates, " - ", 2)[0])).otherwise(F.when(dates != "", dates)).alias("start_date"),
-            F.when(ranged, F.trim(F.split(dates, " - ", 2)[1])).alias("end_date"), F.lit(None).cast("double").alias("duration_years"), p["bullets"].alias("responsibilities"), F.array().cast("array<string>").alias("achievements"),
+            F.get(parts, F.lit(0)).alias("job_title"), F.get(parts, F.lit(1)).alias("company"), F.when(ranged, F.trim(F.split(dates, " - ", 2)[0])).otherwise(F.when(dates != "", dates)).alias("start_date"),
+            F.when(ranged, F.trim(F.split(dates, " - ", 2)[1])).alias("end_date"), F.lit(None).cast("double").alias("duration_years"), duties.alias("responsibilities"), F.array().cast("array<string>").alias("achievements"),
         )
 
     return F.transform(F.aggregate(lines(section), start, step, closed), record)
@@ -55,14 +57,18 @@ def work_experience(section: Column) -> Column:
 
 def education(section: Column) -> Column:
     """One degree at most: its line, then institution and year."""
-    own = F.filter(lines(section), lambda x: ~F.upper(x).startswith("GPA:"))
-    degree, place = F.get(own, F.lit(0)), F.get(own, F.lit(1))
+    none = F.array().cast("array<struct<degree:string,field_of_study:string,institution:string,graduation_year:int>>")
     split = r"(?i)^(.+?)\s+in\s+(.+)"
-    made = F.struct(
-        F.coalesce(found(degree, split, 1), degree).alias("degree"), found(degree, split, 2).alias("field_of_study"),
-        F.nullif(F.trim(F.split(place, r"\|", -1)[0]), F.lit("")).alias("institution"), year(place).alias("graduation_year"),
-    )
-    return F.when(F.size(own) > 0, F.array(made)).otherwise(F.array().cast("array<struct<degree:string,field_of_study:string,institution:string,graduation_year:int>>"))
+
+    def first(own: Column) -> Column:
+        degree, place = F.get(own, F.lit(0)), F.get(own, F.lit(1))
+        made = F.struct(
+            F.coalesce(found(degree, split, 1), degree).alias("degree"), found(degree, split, 2).alias("field_of_study"),
+            F.nullif(F.trim(F.split(place, r"\|", -1)[0]), F.lit("")).alias("institution"), year(place).alias("graduation_year"),
+        )
+        return F.when(F.size(own) > 0, F.array(made)).otherwise(none)
+
+    return let(F.filter(lines(section), lambda x: ~F.upper(x).startswith("GPA:")), first)
 
 
 def resumes(texts: DataFrame) -> DataFrame:
@@ -70,12 +76,11 @@ def resumes(texts: DataFrame) -> DataFrame:
     rows = texts.select("source_file", clean_extracted(F.col("text")).alias("raw_text"))
     rows = rows.withColumn("s", sections(F.col("raw_text"), RESUME)).withColumn("pre", F.coalesce(F.col("s")["PREAMBLE"], F.lit("")))
     of = lambda name: F.coalesce(F.col("s")[name], F.lit(""))
-    head = lines(F.col("pre"))
-    second = F.get(head, F.lit(1))
-    rows = rows.withColumns({"email": labelled(F.col("pre"), "Email"), "phone": labelled(F.col("pre"), "Phone"), "linkedin": labelled(F.col("pre"), "LinkedIn"), "professional_summary": F.nullif(collapse(of("PROFESSIONAL SUMMARY")), F.lit(""))})
+    second = F.get("head", F.lit(1))
+    rows = rows.withColumns({"head": lines(F.col("pre")), "email": labelled(F.col("pre"), "Email"), "phone": labelled(F.col("pre"), "Phone"), "linkedin": labelled(F.col("pre"), "LinkedIn"), "professional_summary": F.nullif(collapse(of("PROFESSIONAL SUMMARY")), F.lit(""))})
     none = F.array().cast("array<string>")
     return rows.select(
-        candidate_id(F.col("source_file")).alias("candidate_id"), "source_file", title_case(F.get(head, F.lit(0))).alias("full_name"), F.when(~F.lower(second).startswith("contact"), second).alias("headline"),
+        candidate_id(F.col("source_file")).alias("candidate_id"), "source_file", title_case(F.get("head", F.lit(0))).alias("full_name"), F.when(~F.lower(second).startswith("contact"), second).alias("headline"),
         labelled(F.col("pre"), "Location").alias("location"), F.when(F.coalesce("email", "phone", "linkedin").isNotNull(), F.struct("email", "phone", "linkedin")).alias("contact"), "professional_summary",
         bullets(of("TECHNICAL SKILLS")).alias("skills"), bullets(of("SOFTWARE PROFICIENCY")).alias("software"), work_experience(of("PROFESSIONAL EXPERIENCE")).alias("work_experience"),
         years_of_experience(F.col("professional_summary")).alias("total_experience_years"), education(of("EDUCATION")).alias("education"),

@@ -726,7 +726,7 @@ def parse_resumes(spark, sf):
     lines = F.concat_ws("\n", F.upper("p_name"), "p_type", F.concat(F.lit("Email: "), "p_partkey", F.lit("@x.org")), F.concat(F.lit("Location: "), "p_brand"), F.lit("PROFESSIONAL SUMMARY"), F.concat(F.lit("Has "), "p_size", F.lit("+ years of work.")), F.lit("TECHNICAL SKILLS"),
                         F.concat(F.lit("\u007f "), words[0]), F.concat(F.lit("● "), words[1]), F.lit("PROFESSIONAL EXPERIENCE"), F.concat_ws(" | ", "p_type", "p_brand", F.lit("2019 - 2020")), F.concat(F.lit("• did "), words[0]), F.lit("and more"), F.lit("EDUCATION\nGPA: 3\nBSc in"), F.lit("Uni | 2018"))
     text = F.replace(lines, F.lit("BSc in\n"), F.concat(F.lit("BSc in "), "p_type", F.lit("\n")))
-    made = parse.resumes(_t(spark, sf, "part").select(F.concat(F.lit("/x/Resume_"), "p_partkey", F.lit(".pdf")).alias("source_file"), text.alias("text")))
+    made = parse.resumes(_dealt_by(_t(spark, sf, "part"), "p_partkey").select(F.concat(F.lit("/x/Resume_"), "p_partkey", F.lit(".pdf")).alias("source_file"), text.alias("text")))
     w, e = F.col("work_experience")[0], F.col("education")[0]
     return made.select(
         "candidate_id", "full_name", "headline", "location", F.col("contact.email").alias("email"), F.col("total_experience_years").alias("years"), F.array_join("skills", "|").alias("skills"),

@@ -11,7 +11,7 @@ from quarry.plans import queries
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["parse_jobs"])
+@pytest.mark.parametrize("name", ["parse_jobs", "parse_resumes"])
 def test_a_table_of_one_row_group_is_parsed_by_all_cores(spark, name):
     made = queries.QUERIES[name](spark, SMALL)
     held = made.groupBy(F.spark_partition_id()).count().count()
