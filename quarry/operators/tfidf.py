@@ -1,8 +1,10 @@
 """TF-IDF vectors, kept sparse.
 
 Words are found by Unicode's rules after decomposition (NFKD) has parted letters and marks, for which Spark has no
-function; so texts are read in Arrow batches. A task adds up its own term counts before they are shuffled, the vocabulary
-is bounded by max_features, and with it at hand each document's vector is made within its row.
+function; so texts are read in Arrow batches. Most terms are pairs of words that occur once or twice, so a first pass counts
+occurrences by hash alone, which bounds each term's frequency from above, and a second one counts the terms that can be
+among the most frequent. The vocabulary is bounded by max_features, and with it at hand each document's vector is made
+within its row.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ MAX_FEATURES = 4096
 MOST_FEATURES = 1 << 20
 #: Terms that a task adds up before it sends its counts on.
 HELD_TERMS = 1 << 20
+#: Buckets of hashes by which occurrences are counted, so many of them sent together, and words whose hash a task remembers.
+BUCKETS, SLICE, HELD_WORDS = 1 << 18, 1 << 14, 1 << 19
 #: The English stop list of the usual text analyzer.
 STOP_WORDS = """
 a about above across after afterwards again against all almost alone along already also although always am
@@ -55,7 +60,10 @@ def words(text: str | None) -> list[str]:
     """Lower-cased words of two characters at least without their accents, stop words left out."""
     text = (text or "").lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKD", text)
+        for c in set(text):
+            if unicodedata.combining(c):
+                text = text.replace(c, "")
     return [w for w in _words(text) if w not in _STOPS]
 
 
@@ -65,8 +73,69 @@ def terms(text: str | None) -> list[str]:
     return own + [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, df, tf; the row of a null term has the number of documents."""
+class _Hashes(dict):
+    """The hash of each word, the same in every task."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        own = self[word] = crc32(word.encode())
+        return own
+
+
+def _buckets(own: list[str], hashes: _Hashes) -> np.ndarray:
+    """The bucket of each of terms(text), given its words."""
+    h = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
+    mixed = np.concatenate([h, h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xD6E8FEB86659FD93)]) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """How often the terms of each bucket occur, together: no term of the bucket occurs more often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, held, n = _Hashes(), np.zeros(BUCKETS, np.int64), [], 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                held.append(_buckets(words(value), hashes))
+                n += held[-1].size
+                if n > 1 << 18:
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, n = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        if counts.any():
+            yield _sliced({at: counts[at : at + SLICE] for at in range(0, BUCKETS, SLICE)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(own, "<i8")
+        yield _sliced(sums)
+
+    schema = "at int, n binary"
+    made = np.zeros(BUCKETS, np.int64)
+    for row in docs.select(text).mapInArrow(run, schema).repartition(BUCKETS // SLICE, "at").mapInArrow(add, schema).collect():
+        made[row["at"] : row["at"] + SLICE] = np.frombuffer(row["n"], "<i8")
+    return made
+
+
+def _sliced(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in counts.values()], pa.binary())], ["at", "n"])
+
+
+def term_counts(docs: DataFrame, text: str = "text", among: np.ndarray | None = None) -> DataFrame:
+    """term, df, tf of all terms, or of those whose bucket is marked; the row of a null term has the number of documents."""
+    marked = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
+    hashes = _Hashes()
+
+    def chosen(value: str | None) -> list[str]:
+        if marked is None:
+            return terms(value)
+        own = words(value)
+        n = len(own)
+        return [own[i] if i < n else f"{own[i - n]} {own[i - n + 1]}" for i in np.flatnonzero(marked.value[_buckets(own, hashes)]).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, tf, n = Counter(), Counter(), 0
@@ -79,7 +148,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                found = terms(value)
+                found = chosen(value)
                 tf.update(found)
                 df.update(set(found))
                 n += 1
@@ -109,7 +178,16 @@ class TfidfModel:
         """The most frequent terms of the texts; of equally frequent ones those that sort first. No documents raise."""
         if not 0 < max_features <= MOST_FEATURES:
             raise ValueError(f"max_features must be 1 to {MOST_FEATURES}")
-        rows = term_counts(docs, text).orderBy(F.col("term").isNull().desc(), F.desc("tf"), "term").limit(max_features + 1).collect()
+        first = lambda among: term_counts(docs, text, among).orderBy(F.col("term").isNull().desc(), F.desc("tf"), "term").limit(max_features + 1).collect()
+        if 2 * max_features > BUCKETS // 8:
+            rows = first(None)
+        else:
+            counts = bucket_counts(docs, text)
+            least = max(1, int(np.partition(counts, -2 * max_features)[-2 * max_features]))
+            rows = first(counts >= least)
+            nth = rows[-1]["tf"] if len(rows) > max_features else 1
+            if least > nth:  # a term that was left out might be as frequent as the last
+                rows = first(counts >= nth)
         if not rows or not rows[0]["df"]:
             raise ValueError("cannot fit a vocabulary on no documents")
         own = sorted(rows[1:], key=lambda r: r["term"])

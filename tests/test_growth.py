@@ -1,11 +1,15 @@
 """Costly steps are dealt to all cores and do not grow faster than their input."""
 
+import random
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import tfidf
 from quarry.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,3 +27,27 @@ def test_title_case_takes_time_by_length(spark):
     began = time.time()
     assert spark.createDataFrame([(own,)], "t string").select(text.title_case(F.col("t"))).first()[0] == "O'Neil 𐐀𐐩 Éa-1X " * 2000
     assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("inflated", [False, True])
+def test_vocabulary_counts_only_terms_that_can_be_in_it(spark, monkeypatch, inflated):
+    """Rare terms are left out before anything is shuffled; where buckets of rare terms seem frequent, a second count settles it."""
+    r = random.Random(1)
+    common = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choice(common) if r.random() < 0.5 else f"É{r.random()}x{i}" for _ in range(40)) for i in range(200)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tf, df = Counter(), Counter()
+    for t in texts:
+        tf.update(own := tfidf.terms(t))
+        df.update(set(own))
+    asked, count, bucket = [], tfidf.term_counts, tfidf.bucket_counts
+    monkeypatch.setattr(tfidf, "term_counts", lambda *a: asked.append(count(*a)) or asked[-1])
+    counts = bucket(docs)
+    assert counts.sum() == tf.total()
+    if inflated:
+        counts[np.argsort(counts, kind="stable")[:100]] += 10**6
+        monkeypatch.setattr(tfidf, "bucket_counts", lambda *a: counts)
+    model = tfidf.TfidfModel.fit(docs, max_features=40)
+    best = sorted(sorted(tf, key=lambda t: (-tf[t], t))[:40])
+    assert model.terms == best and model.tf == [tf[t] for t in best] and model.df == [df[t] for t in best] and model.n_docs == len(texts)
+    assert len(asked) == 1 + inflated and (inflated or asked[0].count() < len(tf) / 10)
