@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dedupe_ignoring_case(values: Column) -> Column:
     """Stripped values without blanks; of those that differ in case only, the first stays."""
@@ -15,8 +17,8 @@ def dedupe_ignoring_case(values: Column) -> Column:
 
 def first_by(items: Column, key: str) -> Column:
     """Of structs with the same key, the first stays."""
-    keys = F.transform(items, lambda x: x[key])
-    return F.filter(items, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+    first = lambda own, keys: F.filter(own, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+    return let(items, lambda own: let(F.transform(own, lambda x: x[key]), lambda keys: first(own, keys)))
 
 
 def joined(values: Column, separator: str, prefix: str = "") -> Column:

@@ -71,8 +71,8 @@ def retrieval_documents(candidates: DataFrame, mode: str = "full") -> DataFrame:
     return rows.select(F.concat_ws(":", "candidate_id", "p.suffix").alias("vector_id"), "candidate_id", "p.section", "p.text", "headline", "experience_years", "source_file")
 
 
-def evidence_catalog(candidates: DataFrame) -> DataFrame:
-    """candidate_id, ord, evidence_id (E001 and on), section, text: what a candidate's record says, in fixed order."""
+def evidence_items() -> Column:
+    """What a candidate's record says, in fixed order: an array of section and text."""
     one = lambda section, text: F.array(F.struct(F.lit(section).alias("section"), text.alias("text")))
     many = lambda section, texts: F.transform(texts, lambda t: F.struct(F.lit(section).alias("section"), t.alias("text")))
     none = F.array().cast("array<string>")
@@ -82,8 +82,12 @@ def evidence_catalog(candidates: DataFrame) -> DataFrame:
         one("experience", F.concat(short_number(F.col("total_experience_years")), F.lit("+ years of total experience"))), many("work_experience", posts),
         many("education", F.transform("education", _degree)), many("certifications", F.transform("certifications", lambda c: c["name"])),
     )
-    clean = F.filter(F.transform(every, lambda r: F.struct(r["section"].alias("section"), collapse(r["text"]).alias("text"))), lambda r: F.coalesce(r["text"], F.lit("")) != "")
-    rows = candidates.select("candidate_id", F.posexplode(clean).alias("ord", "r"))
+    return F.filter(F.transform(every, lambda r: F.struct(r["section"].alias("section"), collapse(r["text"]).alias("text"))), lambda r: F.coalesce(r["text"], F.lit("")) != "")
+
+
+def evidence_catalog(candidates: DataFrame) -> DataFrame:
+    """candidate_id, ord, evidence_id (E001 and on), section, text: what a candidate's record says, in fixed order."""
+    rows = candidates.select("candidate_id", F.posexplode_outer(evidence_items()).alias("ord", "r")).where("ord IS NOT NULL")
     return rows.select("candidate_id", "ord", evidence_id(F.col("ord")).alias("evidence_id"), "r.section", "r.text")
 
 

@@ -53,12 +53,19 @@ class Taxonomy:
         An alias is a substring; one of eight characters or more may also nearly occur. An alias of which normalizing
         leaves nothing occurs nowhere.
         """
-        own = self.of_kind(kind)
-        normal = {a: n for c in own for a in c.aliases if (n := _normalized(a))}
-        near = fuzzy_aliases(text, sorted(set(normal.values()))) if fuzzy else F.array().cast("array<string>")
-        held = F.transform(F.array(F.struct(text.alias("t"), near.alias("n"))), lambda x: F.filter(F.array(*[F.when(_any(x, [normal[a] for a in c.aliases if a in normal], fuzzy), F.lit(c.key)) for c in own]), lambda k: k.isNotNull()))
+        near = fuzzy_aliases(text, self.aliases(kind)) if fuzzy else F.array().cast("array<string>")
+        held = F.transform(F.array(F.struct(text.alias("t"), near.alias("n"))), lambda x: self.held(x, kind, fuzzy))
         return F.coalesce(held[0], F.array().cast("array<string>"))
 
+    def aliases(self, *kinds: str) -> list[str]:
+        """The normalized aliases of these kinds."""
+        return sorted({n for kind in kinds for c in self.of_kind(kind) for a in c.aliases if (n := _normalized(a))})
+
+    def held(self, x: Column, kind: str, fuzzy: bool) -> Column:
+        """hits of a text t, and n, the aliases that nearly occur in it."""
+        own = [(c.key, [n for a in c.aliases if (n := _normalized(a))]) for c in self.of_kind(kind)]
+        return F.filter(F.array(*[F.when(_any(x, aliases, fuzzy), F.lit(key)) for key, aliases in own]).cast("array<string>"), lambda k: k.isNotNull())
+
 
 def _any(x: Column, aliases: list[str], fuzzy: bool) -> Column:
     hit = F.lit(False)

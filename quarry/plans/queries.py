@@ -159,7 +159,7 @@ def _people(spark, sf):
         "work_experience": some(own("p_size") > 25, post, kinds["work_experience"]), "total_experience_years": own("p_size").cast("double"), "education": some(own("p_size") % 3 == 0, degree, kinds["education"]),
         "certifications": some(own("p_size") % 5 == 0, certificate, kinds["certifications"]), "achievements": none, "raw_text": F.lit(""), "parser_version": F.lit("1"),
     }
-    return _t(spark, sf, "part").select(*[v.alias(k) for k, v in made.items()])
+    return _dealt_by(_t(spark, sf, "part"), "p_partkey").select(*[v.alias(k) for k, v in made.items()])
 
 
 def _jobs(spark, sf):
@@ -601,7 +601,7 @@ SELECT candidate_id, kind, key, arg_min({{'evidence_id': 'E' || lpad((ord + 1)::
 
 @query(f"SELECT candidate_id, kind, key, item.evidence_id AS evidence_id, item.text AS evidence, item.section AS source_section FROM ({_BEST.replace('GROUP BY ALL', 'GROUP BY candidate_id, kind, key')})")
 def best_evidence(spark, sf):
-    rows = match.best_evidence(documents.evidence_catalog(_people(spark, sf)), _concepts(), fuzzy=False)
+    rows = match.best_evidence(_people(spark, sf), _concepts(), fuzzy=False)
     return rows.select("candidate_id", "kind", "key", "item.evidence_id", "item.evidence", "item.source_section")
 
 
@@ -613,8 +613,7 @@ LEFT JOIN (SELECT candidate_id, 'E' || lpad((min(ord) + 1)::VARCHAR, 3, '0') AS
 
 @query(f"SELECT * FROM ({_DEGREES})")
 def education_evidence(spark, sf):
-    people = _people(spark, sf)
-    rows = match.education(people, documents.evidence_catalog(people), _concepts())
+    rows = match.education(_people(spark, sf), _concepts())
     return rows.select("candidate_id", "points", "label", "item.evidence_id")
 
 

@@ -51,3 +51,13 @@ def test_vocabulary_counts_only_terms_that_can_be_in_it(spark, monkeypatch, infl
     best = sorted(sorted(tf, key=lambda t: (-tf[t], t))[:40])
     assert model.terms == best and model.tf == [tf[t] for t in best] and model.df == [df[t] for t in best] and model.n_docs == len(texts)
     assert len(asked) == 1 + inflated and (inflated or asked[0].count() < len(tf) / 10)
+
+
+@pytest.mark.parametrize("name", ["best_evidence", "score_pairs"])
+def test_evidence_is_matched_within_a_candidates_row(spark, name):
+    """Neither sorted for an aggregate nor exploded into rows that meet again; no work for the one task that reads the table."""
+    made = queries.QUERIES[name](spark, SMALL)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "collect_list" not in plan
+    parts = made.rdd.glom().map(len).filter(bool).count()
+    assert name == "score_pairs" or parts >= spark.sparkContext.defaultParallelism  # 200 pairs are too few to stay apart after a shuffle
