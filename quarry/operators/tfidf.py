@@ -1,10 +1,10 @@
 """TF-IDF vectors, kept sparse.
 
 Words are found by Unicode's rules after decomposition (NFKD) has parted letters and marks, for which Spark has no
-function; so texts are read in Arrow batches. Most terms are pairs of words that occur once or twice, so a first pass counts
-occurrences by hash alone, which bounds each term's frequency from above, and a second one counts the terms that can be
-among the most frequent. The vocabulary is bounded by max_features, and with it at hand each document's vector is made
-within its row.
+function; so texts are read in Arrow batches, and the words of many are cut at once. Most terms are pairs of words that
+occur once or twice, so a first pass counts occurrences by hash alone, which bounds each term's frequency from above, and a
+second one counts the terms that can be among the most frequent. The vocabulary is bounded by max_features, and with it at
+hand each document's vector is made within its row.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +27,10 @@ MAX_FEATURES = 4096
 MOST_FEATURES = 1 << 20
 #: Terms that a task adds up before it sends its counts on.
 HELD_TERMS = 1 << 20
-#: Buckets of hashes by which occurrences are counted, so many of them sent together, and words whose hash a task remembers.
-BUCKETS, SLICE, HELD_WORDS = 1 << 18, 1 << 14, 1 << 19
+#: Bytes of texts whose words are cut at once.
+PIECE = 1 << 20
+#: Buckets of hashes by which occurrences are counted, and so many of them sent together.
+BUCKETS, SLICE = 1 << 18, 1 << 14
 #: The English stop list of the usual text analyzer.
 STOP_WORDS = """
 a about above across after afterwards again against all almost alone along already also although always am
@@ -56,15 +58,22 @@ _STOPS = frozenset(STOP_WORDS)
 _words = re.compile(r"\w\w+").findall
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cased words of two characters at least without their accents, stop words left out."""
+def _plain(text: str | None, blank: bool = False) -> str:
+    """Lower-cased text without its accents; with blank, characters beyond ASCII that no word has become blanks."""
     text = (text or "").lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-        for c in set(text):
+        for c in set(text.encode().translate(None, _ASCII).decode()):
             if unicodedata.combining(c):
                 text = text.replace(c, "")
-    return [w for w in _words(text) if w not in _STOPS]
+            elif blank and not c.isalnum():
+                text = text.replace(c, " ")
+    return text
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-cased words of two characters at least without their accents, stop words left out."""
+    return [w for w in _words(_plain(text)) if w not in _STOPS]
 
 
 def terms(text: str | None) -> list[str]:
@@ -73,37 +82,109 @@ def terms(text: str | None) -> list[str]:
     return own + [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
 
 
-class _Hashes(dict):
-    """The hash of each word, the same in every task."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        own = self[word] = crc32(word.encode())
-        return own
-
-
-def _buckets(own: list[str], hashes: _Hashes) -> np.ndarray:
-    """The bucket of each of terms(text), given its words."""
-    h = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
-    mixed = np.concatenate([h, h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xD6E8FEB86659FD93)]) * np.uint64(0xFF51AFD7ED558CCD)
-    return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+class _Piece:
+    """The words(text) of some texts, in order: of each its string, its hash (the same in every task) and the number of its text.
+
+    Words are cut and told apart for all texts at once, without a Python object for any of them.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+        inside = _WORD_BYTES[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        first = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        data, ends = data[inside], np.concatenate([[0], np.cumsum(sizes)])
+        strings = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+        hashes = _hashes(data, ends)
+        keep = pc.utf8_length(strings).to_numpy() > 1
+        maybe = np.flatnonzero(_STOP_MARKS[hashes >> np.uint64(52)])
+        keep[maybe[pc.is_in(strings.take(pa.array(maybe)), value_set=pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False)]] = False
+        self.n = len(texts)
+        self.strings, self.hashes = strings.filter(pa.array(keep)), hashes[keep]
+        self.of = np.repeat(np.arange(len(texts)), np.diff(first))[keep]
+        #: Places of the words that another one of the same text follows.
+        self.pairs = np.flatnonzero(self.of[1:] == self.of[:-1])
+
+    def buckets(self) -> np.ndarray:
+        """The bucket of each word, then of each pair."""
+        first, second = self.hashes * np.uint64(0x9E3779B97F4A7C15), self.hashes * np.uint64(0xD6E8FEB86659FD93)
+        mixed = np.concatenate([self.hashes, first[self.pairs] + second[self.pairs + 1]]) * np.uint64(0xFF51AFD7ED558CCD)
+        return ((mixed ^ mixed >> np.uint64(32)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+    def counts(self, some: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """term, df, tf, of the words and pairs at some places of buckets(), or of all."""
+        encoded = self.strings.dictionary_encode()
+        word, names = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+        codes, of = np.concatenate([word, word[self.pairs] + 1 << 32 | word[self.pairs + 1]]), np.concatenate([self.of, self.of[self.pairs]])
+        if some is not None:
+            codes, of = codes[some], of[some]
+        found = pa.array(codes).dictionary_encode()
+        at, own, n = found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy(), len(found.dictionary)
+        once = pc.unique(pa.array(of * n + at)).to_numpy()
+        df, tf = np.bincount(once % max(1, n), minlength=n), np.bincount(at, minlength=n)
+        one, two = np.flatnonzero(own < 1 << 32), np.flatnonzero(own >= 1 << 32)
+        pairs = pc.binary_join_element_wise(names.take(pa.array((own[two] >> 32) - 1)), names.take(pa.array(own[two] & 0xFFFFFFFF)), " ")
+        order = np.concatenate([one, two])
+        return pa.concat_arrays([names.take(pa.array(own[one])), pairs]), df[order], tf[order]
+
+
+#: Bytes of words; in UTF-8, those of characters beyond ASCII among them.
+_WORD_BYTES = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)])
+_ASCII = bytes(range(128))
+#: Bytes hashed at once, of one word at most so many.
+_SPAN = 1 << 16
+_BASE = 0x9FB21C651E98DF25
+_POWERS = np.cumprod(np.array([1] + [_BASE] * (2 * _SPAN), np.uint64))
+_INVERSES = np.cumprod(np.array([1] + [pow(_BASE, -1, 1 << 64)] * (2 * _SPAN), np.uint64))
+
+
+def _hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: its bytes as a polynomial, by sums up to its two ends."""
+    made = np.empty(len(ends) - 1, np.uint64)
+    cuts = np.unique(np.concatenate([np.searchsorted(ends[:-1], np.arange(0, int(ends[-1]), _SPAN)), [len(made)]]))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        own = ends[i : j + 1] - ends[i]
+        stop = np.minimum(own[1:], own[:-1] + _SPAN)
+        size = int(stop[-1])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data[ends[i] : ends[i] + size] * _POWERS[:size])])
+        made[i:j] = (sums[stop] - sums[own[:-1]]) * _INVERSES[own[:-1]]
+    made *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return made ^ made >> np.uint64(29)
+
+
+def _marked_stops() -> np.ndarray:
+    own = [w.encode() for w in STOP_WORDS]
+    marks = np.zeros(1 << 12, bool)
+    marks[_hashes(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0] + [len(w) for w in own])) >> np.uint64(52)] = True
+    return marks
+
+
+#: Which upper bits of a hash a stop word has.
+_STOP_MARKS = _marked_stops()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Piece]:
+    """The texts of the first column, in pieces of PIECE bytes or one text."""
+    for batch in batches:
+        own, size = [], 0
+        for value in batch.column(0).to_pylist():
+            own.append(_plain(value, True).encode())
+            size += len(own[-1])
+            if size >= PIECE:
+                yield _Piece(own)
+                own, size = [], 0
+        if own:
+            yield _Piece(own)
 
 
 def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often the terms of each bucket occur, together: no term of the bucket occurs more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, held, n = _Hashes(), np.zeros(BUCKETS, np.int64), [], 0
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.append(_buckets(words(value), hashes))
-                n += held[-1].size
-                if n > 1 << 18:
-                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held, n = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        counts = np.zeros(BUCKETS, np.int64)
+        for piece in _read(batches):
+            counts += np.bincount(piece.buckets(), minlength=BUCKETS)
         if counts.any():
             yield _sliced({at: counts[at : at + SLICE] for at in range(0, BUCKETS, SLICE)})
 
@@ -128,40 +209,38 @@ def _sliced(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
 def term_counts(docs: DataFrame, text: str = "text", among: np.ndarray | None = None) -> DataFrame:
     """term, df, tf of all terms, or of those whose bucket is marked; the row of a null term has the number of documents."""
     marked = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
-    hashes = _Hashes()
-
-    def chosen(value: str | None) -> list[str]:
-        if marked is None:
-            return terms(value)
-        own = words(value)
-        n = len(own)
-        return [own[i] if i < n else f"{own[i - n]} {own[i - n + 1]}" for i in np.flatnonzero(marked.value[_buckets(own, hashes)]).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, tf, n = Counter(), Counter(), 0
-
-        def held() -> Iterator[pa.RecordBatch]:
-            names = list(tf)
-            for at in range(0, len(names), 1 << 16):
-                part = names[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([df[t] for t in part], pa.int64()), pa.array([tf[t] for t in part], pa.int64())], ["term", "df", "tf"])
-
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found = chosen(value)
-                tf.update(found)
-                df.update(set(found))
-                n += 1
-                if len(tf) > HELD_TERMS:
-                    yield from held()
-                    df.clear()
-                    tf.clear()
-        yield from held()
+        held, n = [], 0
+        for piece in _read(batches):
+            n += piece.n
+            held.append(piece.counts(None if marked is None else np.flatnonzero(marked.value[piece.buckets()])))
+            if sum(len(x[0]) for x in held) > HELD_TERMS:
+                held = [_added(held)]
+                if 2 * len(held[0][0]) > HELD_TERMS:
+                    yield from _rows(*held.pop())
+        if held:
+            yield from _rows(*_added(held))
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([n], pa.int64()), pa.array([0], pa.int64())], ["term", "df", "tf"])
 
     return docs.select(text).mapInArrow(run, "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
+def _added(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Counts of several pieces, added up by term."""
+    terms, df, tf = pa.concat_arrays([x[0] for x in held]).dictionary_encode(), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+    made = np.zeros((2, len(terms.dictionary)), np.int64)
+    np.add.at(made[0], terms.indices.to_numpy(), df)
+    np.add.at(made[1], terms.indices.to_numpy(), tf)
+    return terms.dictionary, made[0], made[1]
+
+
+def _rows(terms: pa.Array, df: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([terms, pa.array(df), pa.array(tf)], ["term", "df", "tf"])
+    for at in range(0, len(terms), 1 << 16):
+        yield whole.slice(at, 1 << 16)
+
+
 class TfidfModel:
     """A fitted vocabulary: terms in order, their document and term frequencies, and the inverse document frequencies."""
 

@@ -38,10 +38,14 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _dealt(table: DataFrame) -> DataFrame:
-    """A table whose file has fewer parts than there are cores is read by as few tasks: its rows are dealt to all before costly work."""
+def _dealt(table: DataFrame, *key: str) -> DataFrame:
+    """A table of which one task would read more than twice an even share is dealt to all cores by its key before costly work.
+
+    That is so where its file has fewer parts than there are cores, or fewer row groups than parts; counts are in the files' footers.
+    """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    held = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    return _dealt_by(table, *key) if cores * max(held, default=0) > 2 * sum(held) else table
 
 
 def _dealt_by(table: DataFrame, *key: str) -> DataFrame:
@@ -110,7 +114,7 @@ _CORPUS = "WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNIO
 
 @query(f"{_CORPUS}{_TOKENS} SELECT term, df, tf, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocab_idf(spark, sf):
-    return tfidf.TfidfModel.fit(_dealt(_t(spark, sf, "documents"))).vocabulary(spark).select("term", "df", "tf", F.round("idf", 6).alias("idf"))
+    return tfidf.TfidfModel.fit(_dealt(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")).vocabulary(spark).select("term", "df", "tf", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""{_CORPUS}{_TOKENS},
@@ -119,7 +123,7 @@ u AS (SELECT kind, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) A
 s AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.w * d.w), {retrieve.DIGITS}) AS score FROM u q JOIN u d ON q.term = d.term AND q.kind = 'q' AND d.kind = 'd' GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def tfidf_topk(spark, sf):
-    docs = _dealt(_t(spark, sf, "documents").select("doc_id", "text"))
+    docs = _dealt(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     hits = tfidf.TfidfModel.fit(docs).search(_t(spark, sf, "benchmark"), "item_id", docs, "doc_id", 10)
     return hits.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

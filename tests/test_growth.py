@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,46 @@ def test_vocabulary_counts_only_terms_that_can_be_in_it(spark, monkeypatch, infl
     assert len(asked) == 1 + inflated and (inflated or asked[0].count() < len(tf) / 10)
 
 
+def test_words_are_cut_for_many_texts_at_once(monkeypatch):
+    """The same words, terms and counts as text by text."""
+    r = random.Random(2)
+    odd = [None, "", ".", "a", "the", "A B", "é", "日本 東京x", "ﬁne ßtraße Ünïcode 日", "𝐀𝐁c K", "x\x00yz\x85ab\xa0cd", "²³ ½a ١٢", "_ __ a_b", "ǅ ǆab‍cd", "\U0001f600ab", "the ab of cd", "x" * 200000 + " " + "y" * 70000 + " zz"]
+    odd += ["".join(r.choice("aé日 .́İıſ̈ßK_9²٣\n") for _ in range(50)) for _ in range(500)]
+    plain = [" ".join(r.choice(["tax", "the", "q"]) if r.random() < 0.3 else f"w{r.randrange(10**5)}" for _ in range(300)) for _ in range(1500)]
+    batch = lambda texts: iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])
+    found = []
+    for piece in tfidf._read(batch(odd)):
+        own = [[] for _ in range(piece.n)]
+        for w, at in zip(piece.strings.to_pylist(), piece.of.tolist(), strict=True):
+            own[at].append(w)
+        found += own
+    assert found == [tfidf.words(t) for t in odd]
+    monkeypatch.setattr(tfidf, "_words", None)  # no text's words are looked for by themselves
+    pieces = list(tfidf._read(batch(plain)))
+    names, found_df, found_tf = tfidf._added([x.counts() for x in pieces])
+    buckets = sum(np.bincount(x.buckets(), minlength=tfidf.BUCKETS) for x in pieces)
+    monkeypatch.undo()
+    tf, df = Counter(), Counter()
+    for t in plain:
+        own = tfidf.terms(t)
+        tf.update(own)
+        df.update(set(own))
+    names = names.to_pylist()
+    assert dict(zip(names, found_tf.tolist(), strict=True)) == tf and dict(zip(names, found_df.tolist(), strict=True)) == df and buckets.sum() == tf.total()
+
+
+def test_documents_of_one_row_group_are_dealt_though_the_file_has_many_parts(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+        assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        dealt = queries._dealt(table, "doc_id")
+        assert dealt.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism and dealt.count() == table.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("name", ["best_evidence", "score_pairs"])
 def test_evidence_is_matched_within_a_candidates_row(spark, name):
     """Neither sorted for an aggregate nor exploded into rows that meet again; no work for the one task that reads the table."""
