@@ -624,8 +624,9 @@ def education_evidence(spark, sf):
 def _scored_pairs(spark, sf):
     """Each part's candidate against the job of one nation, as retrieval might have placed them."""
     key = F.col("p_partkey")
-    pairs = _t(spark, sf, "part").select(F.concat(F.lit("n"), key % 25).alias("job_id"), F.concat(F.lit("p"), key).alias("candidate_id"), ((key % 97 + 1) / F.lit(98.0)).alias("retrieval_score"), F.floor(key / 25).cast("int").alias("retrieval_rank"))
-    return match.score_pairs(pairs, _jobs(spark, sf), _people(spark, sf), _concepts(), fuzzy=False)
+    part = _t(spark, sf, "part")
+    pairs = part.select(F.concat(F.lit("n"), key % 25).alias("job_id"), F.concat(F.lit("p"), key).alias("candidate_id"), ((key % 97 + 1) / F.lit(98.0)).alias("retrieval_score"), F.floor(key / 25).cast("int").alias("retrieval_rank"))
+    return match.score_pairs(pairs, _jobs(spark, sf), _people(spark, sf), _concepts(), fuzzy=False, rows=part.count())
 
 
 _MET = f"""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import tfidf
+from quarry.operators import match, tfidf
 from quarry.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,3 +102,25 @@ def test_evidence_is_matched_within_a_candidates_row(spark, name):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "collect_list" not in plan
     parts = made.rdd.glom().map(len).filter(bool).count()
     assert name == "score_pairs" or parts >= spark.sparkContext.defaultParallelism  # 200 pairs are too few to stay apart after a shuffle
+
+
+def test_pairs_and_candidates_meet_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Rather than in as many tasks as there are shuffle partitions; no task that reads the table holds all ids."""
+    order = lambda made: sorted(map(tuple, made.collect()))
+    before = order(queries.QUERIES["score_pairs"](spark, SMALL))
+    monkeypatch.setattr(match, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(match, "LEAST_ROWS", 1, raising=False)
+    made = queries.QUERIES["score_pairs"](spark, SMALL)
+    held = made.rdd.glom().map(len).collect()
+    assert sum(held) == 200 and max(held) <= 25 and "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert order(made) == before
+
+
+def test_a_candidate_of_several_pairs_is_scored_for_each(spark, monkeypatch):
+    monkeypatch.setattr(match, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(match, "LEAST_ROWS", 1, raising=False)
+    jobs, people = queries._jobs(spark, SMALL), queries._people(spark, SMALL)
+    pairs = spark.createDataFrame([(f"n{j}", f"p{c}", 0.5, j) for j in range(3) for c in (1, 2, 10**9)] + [("none", "p1", 0.5, 1)], "job_id string, candidate_id string, retrieval_score double, retrieval_rank int")
+    made = [match.score_pairs(pairs, jobs, people, queries._concepts(), fuzzy=False, rows=rows).select("job_id", "candidate_id", "final_score") for rows in (None, 200)]
+    held = [sorted(map(tuple, m.collect())) for m in made]
+    assert held[0] == held[1] and [h[:2] for h in held[0]] == sorted((f"n{j}", f"p{c}") for j in range(3) for c in (1, 2))
