@@ -34,9 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_dir, slices, spread_join, table
+from .common import batches_of, checkpointed, fresh_dir, slices, spread_join, table
 
 ARCHIVE_BYTES = 32 << 20
+#: What executor and worker hand over at once, however long the pages are.
+BATCH_BYTES = 4 << 20
 WINDOW_BYTES = 1 << 20
 #: What a gzip member and an uncompressed record begin with.
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -272,26 +274,30 @@ def write_archives(pages: DataFrame, directory: str, least: int = 0, packed: boo
             yield close()
 
     listed = f"{directory}-list"
-    rows.mapInArrow(run, "path string, records long, bytes long").write.parquet(listed)
+    with batches_of(spark, BATCH_BYTES):
+        rows.mapInArrow(run, "path string, records long, bytes long").write.parquet(listed)
     return spark.read.parquet(listed)
 
 
-def read_archives(paths: DataFrame) -> DataFrame:
-    """A row for each record and gap of the archives named in path: kind, path, begin, end, and the record's fields."""
+def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
+    """A row for each record and gap of the archives named in path: kind, path, begin, end, and the record's fields.
+
+    Without payloads, payload is null and only its length leaves the worker that reads the archive.
+    """
     parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["path", "kind", "begin", "end", "reason", "type", "record_id", "uri", "refers_to", "payload_digest", "payload"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.binary()]
+    names = ["path", "kind", "begin", "end", "reason", "type", "record_id", "uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
 
     def rows(path: str) -> Iterator[tuple]:
         store, name = fs.FileSystem.from_uri(path)
         with store.open_input_file(name) as file:
             for kind, begin, end, what in salvage(file, file.size()):
                 if kind == "gap":
-                    yield path, kind, begin, end, what, None, None, None, None, None, None
+                    yield path, kind, begin, end, what, None, None, None, None, None, None, None
                     continue
                 f = what["fields"]
                 own = f.get("warc-payload-digest", "").removeprefix("sha1:") if f.get("warc-type") == "revisit" else digest(what["payload"])
-                yield path, kind, begin, end, None, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), own, what["payload"]
+                yield path, kind, begin, end, None, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), own, len(what["payload"]), what["payload"] if payloads else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +312,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    return paths.select("path").repartition(parts, "path").mapInArrow(run, "path string, kind string, begin long, end long, reason string, type string, record_id string, uri string, refers_to string, payload_digest string, payload binary")
+    return paths.select("path").repartition(parts, "path").mapInArrow(run, "path string, kind string, begin long, end long, reason string, type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary")
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
@@ -317,7 +323,7 @@ def read_pages(archives: DataFrame) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
     lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("begin").cast("string"), F.lit(": "), "reason")).cast("string")
     name = F.when(F.col("kind") == "record", F.col("record_id")).otherwise(lost)
-    rows = read_archives(archives).select(page(name).alias("page_id"), F.octet_length("payload").cast("long").alias("n"), "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to"))
+    rows = read_archives(archives, payloads=False).select(page(name).alias("page_id"), F.col("payload_bytes").alias("n"), "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to"))
     found = checkpointed(rows)
     kept = found.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     whole = kept.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
